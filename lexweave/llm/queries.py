@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, packing, quality, secrets, sharding
+from . import licenses, linededup, neardup, packing, quality, secrets, sharding, toxicity
 from .frames import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,11 +19,19 @@ def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op3_chosen_path_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_pairs(read_table(spark, sf_dir, "documents"))
+
+
 def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return quality.line_frequency_filter(docs).toDF("doc_id", "text", "source", "lines_removed").drop("source")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op7_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs).toDF("doc_id", "text", "lines_removed")
@@ -37,7 +45,11 @@ def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.feistel_shards(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_sum_of_squares_packing, op5_line_frequency, op7_line_winnowing, op8_secret_novelty, op9_feistel_shards)}
+def op10_fm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_sum_of_squares_packing, op3_chosen_path_near_dup, op5_line_frequency, op6_license_scan, op7_line_winnowing, op8_secret_novelty, op9_feistel_shards, op10_fm_toxicity)}
 
 _NORM = r"trim(regexp_replace(lower(raw), '\s+', ' ', 'g'))"
 
@@ -73,4 +85,21 @@ FROM walk w JOIN rows_ USING (r), q WHERE k > 0 AND v < n
 """
 
 
-SQL: dict[str, str] = {"op5_line_frequency": _OP5, "op9_feistel_shards": _feistel_sql()}
+def _license_sql() -> str:
+    """A word of the phrases is a run of letters, digits and non-ASCII characters; places are counted by removing the phrase."""
+    parts = []
+    for t in licenses.TEMPLATES:
+        phrases = [" ".join(licenses.split(p)) for p in t.phrases]
+        near = " AND ".join(f"contains(s, ' {p} ')" for p in phrases)
+        lead = licenses.split(t.text)
+        first = phrases[0].split()
+        at = next(i for i in range(len(lead)) if lead[i : i + len(first)] == first)
+        assert at >= 0
+        parts.append(
+            f"SELECT doc_id, '{t.name}' AS license, CAST((length(s) - length(replace(s, ' {phrases[0]} ', ' '))) // {len(phrases[0]) + 1} AS INTEGER) AS places, "
+            f"CAST(length(substr(s, 1, instr(s, ' {phrases[0]} '))) - length(replace(substr(s, 1, instr(s, ' {phrases[0]} ')), ' ', '')) - 1 AS INTEGER) AS first_word FROM w WHERE {near}"
+        )
+    return r"WITH w AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[\x00-/:-@\[-`{-\x7f]+', ' ', 'g')) || ' ' AS s FROM documents WHERE text IS NOT NULL) " + " UNION ALL ".join(parts)
+
+
+SQL: dict[str, str] = {"op5_line_frequency": _OP5, "op6_license_scan": _license_sql(), "op9_feistel_shards": _feistel_sql()}
