@@ -9,12 +9,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, linededup, neardup, packing, quality, secrets, sharding, toxicity
+from . import ann, licenses, linededup, neardup, packing, pieces, quality, secrets, sharding, toxicity
 from .frames import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(read_table(spark, sf_dir, "embeddings"))
+
+
 def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,10 @@ def op3_chosen_path_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_pairs(read_table(spark, sf_dir, "documents"))
 
 
+def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return quality.line_frequency_filter(docs).toDF("doc_id", "text", "source", "lines_removed").drop("source")
@@ -49,7 +57,7 @@ def op10_fm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_sum_of_squares_packing, op3_chosen_path_near_dup, op5_line_frequency, op6_license_scan, op7_line_winnowing, op8_secret_novelty, op9_feistel_shards, op10_fm_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_permutation_index, op2_sum_of_squares_packing, op3_chosen_path_near_dup, op4_merge_dropout, op5_line_frequency, op6_license_scan, op7_line_winnowing, op8_secret_novelty, op9_feistel_shards, op10_fm_toxicity)}
 
 _NORM = r"trim(regexp_replace(lower(raw), '\s+', ' ', 'g'))"
 
