@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Config
 from ..functions.features import context_features, self_features, tag_dictionary_features
@@ -197,9 +198,7 @@ def analyze(sentences: DataFrame, model: Model, **changes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in rest], *[pa.array([s[k] for s in own], t) for k, t in parts.items()]], [*rest, *parts])
 
     fields = ", ".join(["surface string", "norm string", "ws_confs array<double>", f"words array<{formats.WORD}>", "ws_signed array<double>"])
-    schema = sentences.select(*rest).schema
-    for f in sentences.sparkSession.createDataFrame([], fields).schema:
-        schema = schema.add(f)
+    schema = T.StructType([*sentences.select(*rest).schema, *sentences.sparkSession.createDataFrame([], fields).schema])
     return sentences.mapInArrow(run, schema)
 
 

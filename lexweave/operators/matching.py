@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import normalize
 from .ngrams import BROADCAST_BYTES
@@ -88,7 +89,7 @@ def matches(lines: DataFrame, entries: DataFrame, column: str = "norm", broadcas
             take = pa.array([x[0] for x in found], pa.int64())
             yield pa.RecordBatch.from_arrays([*[b.column(c).take(take) for c in names], *(pa.array([x[k] for x in found], t) for k, t in ((1, pa.int32()), (2, pa.string()), (3, pa.int32())))], [*names, "end", "word", "in_dict"])
 
-    return lines.mapInArrow(run, lines.schema.add("end", "int").add("word", "string").add("in_dict", "int"))
+    return lines.mapInArrow(run, T.StructType([*lines.schema, *(T.StructField(n, t) for n, t in (("end", T.IntegerType()), ("word", T.StringType()), ("in_dict", T.IntegerType())))]))
 
 
 def boundary_features(found: list[tuple[int, int, int]], length: int, cap: int = LENGTH_CAP) -> set[tuple[int, str]]:

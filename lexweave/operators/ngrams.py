@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import char_type
 
@@ -189,14 +190,14 @@ def size_of(weights: DataFrame) -> int:
     return weights.count() * (8 + 8 * sum(c.startswith("w") for c in weights.columns))
 
 
-def score_lines(lines: DataFrame, weights: DataFrame, bias: int = 0, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The lines with ``breaks``: the boundaries that score above 0.
+def score_lines(lines: DataFrame, weights: DataFrame, bias: int = 0, broadcast_bytes: int = BROADCAST_BYTES, scores: bool | str = False) -> DataFrame:
+    """The lines with ``breaks``: the boundaries that score above 0; on demand also their ``scores``, or those of ``"all"`` boundaries.
 
     A table that is small enough goes to every task and nothing is shuffled;
     a larger one is joined n-gram by n-gram.
     """
     if size_of(weights) > broadcast_bytes:
-        return _score_by_join(lines, weights, bias)
+        return _score_by_join(lines, weights, bias, scores)
     held = lines.sparkSession.sparkContext.broadcast(compile_lookup(weights, bias))
     names = lines.columns
 
@@ -205,12 +206,17 @@ def score_lines(lines: DataFrame, weights: DataFrame, bias: int = 0, broadcast_b
         for b, texts in _chunks(batches, "norm"):
             flat, bounds = codes(texts)
             line, room = _layout(bounds)
-            hit = np.flatnonzero((lookup.score(flat, bounds, line, room) > 0) & (room > 1)) if len(flat) else np.zeros(0, np.int64)
-            of = line[hit]
-            edges = np.searchsorted(of, np.arange(len(texts) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.ListArray.from_arrays(pa.array(edges), pa.array((hit - bounds[:-1][of]).astype(np.int32)))], [*names, "breaks"])
+            total = lookup.score(flat, bounds, line, room)
+            places = np.flatnonzero(room > 1)
+            hit = places[total[places] > 0]
 
-    schema = lines.schema.add("breaks", "array<int>")
+            def lists(at: np.ndarray, values: np.ndarray) -> pa.Array:
+                return pa.ListArray.from_arrays(pa.array(np.searchsorted(line[at], np.arange(len(texts) + 1)).astype(np.int32)), pa.array(values))
+
+            more = [] if not scores else [lists(places, total[places])] if scores == "all" else [lists(hit, total[hit])]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], lists(hit, (hit - bounds[:-1][line[hit]]).astype(np.int32)), *more], [*names, "breaks", *["scores"] * len(more)])
+
+    schema = T.StructType([*lines.schema, T.StructField("breaks", T.ArrayType(T.IntegerType())), *([T.StructField("scores", T.ArrayType(T.LongType()))] if scores else [])])
     return lines.mapInArrow(run, schema)
 
 
@@ -225,16 +231,19 @@ def gram_occurrences(lines: DataFrame, order: int = ORDER) -> DataFrame:
     return both.select("row", "size", "kind", "at", F.substr("text", F.col("at") + 1, F.col("n")).alias("gram"))
 
 
-def _score_by_join(lines: DataFrame, weights: DataFrame, bias: int) -> DataFrame:
+def _score_by_join(lines: DataFrame, weights: DataFrame, bias: int, scores: bool | str) -> DataFrame:
     width = sum(c.startswith("w") for c in weights.columns)
     keyed = lines.withColumn("row", F.struct("doc_id", "line_no"))
     grams = gram_occurrences(keyed.where(F.length("norm") > 1))
     each = F.posexplode(F.array(*[f"w{k}" for k in range(width)])).alias("k", "w")
     shares = grams.join(weights, ["kind", "gram"]).select("row", "size", "at", each)
     shares = shares.select("row", (F.col("at") - F.col("k") - 1 + width // 2).alias("b"), "w", "size").where("b >= 0 and b < size - 1")
-    hits = shares.groupBy("row", "b").agg(F.sum("w").alias("s")).where(F.col("s") + bias > 0)
-    breaks = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.col("b").cast("int"))).alias("breaks"))
-    return keyed.join(breaks, "row", "left").withColumn("breaks", F.coalesce("breaks", F.array().cast("array<int>"))).drop("row")
+    sums = shares.groupBy("row", "b").agg((F.sum("w") + bias).alias("s"))
+    entry = F.struct(F.col("b").cast("int").alias("b"), "s")
+    lists = sums.groupBy("row").agg(F.array_sort(F.collect_list(entry)).alias("all"))
+    out = keyed.join(lists, "row", "left").withColumn("all", F.coalesce("all", F.array().cast("array<struct<b:int,s:bigint>>"))).withColumn("hits", F.filter("all", lambda x: x["s"] > 0))
+    more = [F.col("all.s" if scores == "all" else "hits.s").alias("scores")] if scores else []
+    return out.select(*lines.columns, F.col("hits.b").alias("breaks"), *more)
 
 
 def spans(surface: str = "surface", breaks: str = "breaks"):
