@@ -8,8 +8,10 @@ signature by a hash of its path, and a document goes to the child named by the
 minwise token it has there, so a pair as similar as the threshold is expected
 to meet in one child at least. A node of at most ``leaf`` documents, a dense
 one, or one at the greatest depth is compared exhaustively; pairs already
-joined through others aren't compared again. Groups are the connected
-components of the similar pairs.
+joined through others aren't compared again. A node of at most ``local``
+documents is followed down by the task that holds it; the children of a larger
+one are spread over the cluster. Groups are the connected components of the
+similar pairs.
 
 Defined results:
 
@@ -37,6 +39,8 @@ THRESHOLD = 0.5
 TREES = 8
 LEAF = 200
 DEPTH = 6
+#: Documents of a node up to which one task also does what lies below it.
+LOCAL = 50_000
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -181,8 +185,33 @@ def dense(sig: np.ndarray, threshold: float) -> bool:
     return any(similar(sig, sig[k], threshold).mean() >= 0.5 for k in picks)
 
 
-def _compare(threshold: float, leaf: int, last: bool):
-    edge = ["a", "b", "child"]
+def children(sig: np.ndarray, node: np.uint64, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(members, child of each) for every coordinate that the node chooses."""
+    me = np.array([node], np.uint64)
+    for i in range(branches(threshold)):
+        k = chosen(me, i)[0]
+        yield np.arange(len(sig)), mix(sig[:, k].astype(np.uint64) * _C[1] + node + np.uint64(i + 1))
+
+
+def descend(sig: np.ndarray, node: np.uint64, threshold: float, leaf: int, left: int) -> list[tuple[int, int]]:
+    """Similar pairs of a node that has more than ``leaf`` documents, by its children and theirs, ``left`` levels down."""
+    out: list[tuple[int, int]] = []
+    for who, child in children(sig, node, threshold):
+        order = np.argsort(child, kind="stable")
+        edges = np.flatnonzero(np.concatenate([[True], child[order][1:] != child[order][:-1], [True]]))
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            own = who[order[lo:hi]]
+            if len(own) < 2:
+                continue
+            part = sig[own]
+            small = len(own) <= leaf or left <= 1 or dense(part, threshold)
+            pairs = exhaustive(part, threshold) if small else descend(part, child[order[lo]], threshold, leaf, left - 1)
+            out += [(int(own[a]), int(own[b])) for a, b in pairs]
+    return out
+
+
+def _compare(threshold: float, leaf: int, left: int, local: int):
+    edge = ["a", "b", "child", "sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, "node"):
@@ -195,24 +224,21 @@ def _compare(threshold: float, leaf: int, last: bool):
             two = starts[size == 2]
             hit = two[similar(sig[two], sig[two + 1], threshold)] if len(two) else two
             a, b = [key[hit]], [key[hit + 1]]
-            kids: list[tuple[np.ndarray, np.ndarray]] = []
             for s, m in zip(starts[size > 2], size[size > 2]):
-                part = sig[s : s + m]
-                if m <= leaf or last or dense(part, threshold):
-                    pairs = np.array(exhaustive(part, threshold), np.int64).reshape(-1, 2) + s
+                part, me = sig[s : s + m], node[s : s + 1].view(np.uint64)[0]
+                small = m <= leaf or left <= 1 or dense(part, threshold)
+                if small or m <= local:
+                    pairs = exhaustive(part, threshold) if small else descend(part, me, threshold, leaf, left - 1)
+                    pairs = np.array(pairs, np.int64).reshape(-1, 2) + s
                     a.append(key[pairs[:, 0]])
                     b.append(key[pairs[:, 1]])
                 else:
-                    me = node[s : s + 1].view(np.uint64)
-                    for i in range(branches(threshold)):
-                        k = chosen(me, i)[0]
-                        kids.append((key[s : s + m], mix(part[:, k].astype(np.uint64) * _C[1] + me[0] + np.uint64(i + 1)).view(np.int64)))
+                    # too many for one task: the children become nodes of the next round
+                    for who, child in children(part, me, threshold):
+                        rows = pa.array(who + s)
+                        yield pa.RecordBatch.from_arrays([pa.array(key[s : s + m]), pa.nulls(m, pa.int64()), pa.array(child.view(np.int64)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(BINS), m, [None, pa.py_buffer(np.ascontiguousarray(sig[rows.to_numpy()]))]).cast(pa.binary())], edge)
             a, b = np.concatenate(a), np.concatenate(b)
-            none = pa.nulls(len(a), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none], edge)
-            if kids:
-                who, child = (np.concatenate(x) for x in zip(*kids))
-                yield pa.RecordBatch.from_arrays([pa.array(who), pa.nulls(len(who), pa.int64()), pa.array(child)], edge)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.binary())], edge)
 
     return run
 
@@ -234,7 +260,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
 
 
-def near_groups(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
+def near_groups(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH, local: int = LOCAL) -> DataFrame:
     """(id, key, kept_id, kept_key, extra): every document that goes, and the one of its group that stays; ``extra`` further rows equal it."""
     slim = pick(docs, id="doc_id:bigint", text="text").where("text is not null")
     keyed = slim.select("id", row_key(F.col("id"), F.col("text")).alias("key"), F.lower("text").alias("text"))
@@ -246,15 +272,16 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREE
     reps = signed.join(alone.select("key"), "key").dropDuplicates(["key"])
     lanes = cut(reps.select("key", "sig", "nodes"))
     spread = lanes.select("key", F.explode("nodes").alias("node"))
-    lanes = lanes.select("key", "sig")
-    found = copies
-    for level in range(depth):
-        many = spread.repartition("node").sortWithinPartitions("node").mapInArrow(_shared, "key bigint, node bigint")
-        nodes = many.join(lanes, "key").select("node", "key", "sig").repartition("node").sortWithinPartitions("node", "key")
-        result = cut(nodes.mapInArrow(_compare(threshold, leaf, level == depth - 1), "a bigint, b bigint, child bigint"))
+    many = spread.repartition("node").sortWithinPartitions("node").mapInArrow(_shared, "key bigint, node bigint")
+    nodes = many.join(lanes.select("key", "sig"), "key").select("node", "key", "sig")
+    found, left = copies, depth
+    while True:
+        result = nodes.repartition("node").sortWithinPartitions("node", "key").mapInArrow(_compare(threshold, leaf, left, local), "a bigint, b bigint, child bigint, sig binary")
+        result = cut(result)
         found = found.union(result.where("child is null").select("a", "b"))
-        spread = result.where("child is not null").select(F.col("a").alias("key"), F.col("child").alias("node"))
-        if spread.isEmpty():
+        nodes = result.where("child is not null").select(F.col("child").alias("node"), F.col("a").alias("key"), "sig")
+        left -= 1
+        if nodes.isEmpty():
             break
     parts = components(found)
     ids = signed.groupBy("key").agg(F.first("id").alias("id"), (F.count("*") - 1).alias("extra"))
