@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .frames import BROADCAST_BYTES, cut, fits, hide, pick, row_key
 from .quality import normal
-from .wordhash import mix
+from .wordhash import _pow, mix
 
 MIN_WORDS = 50
 
@@ -87,26 +87,46 @@ def _postings(min_words: int):
     return run
 
 
+def _sums(h: np.ndarray) -> np.ndarray:
+    """Prefix sums from which the hash of any run of lines follows."""
+    out = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(mix(h.astype(np.int64).view(np.uint64).copy()) * _pow(len(h) + 1)[0][: len(h)], out=out[1:])
+    return out
+
+
+def extend(mine: np.ndarray, theirs: np.ndarray, a: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """Which of ``mine`` lie in a run of equal lines through an anchor (a here, sa there); all anchors are extended together."""
+    one, two, back = _sums(mine), _sums(theirs), _pow(max(len(mine), len(theirs)) + 1)[1]
+
+    def same(i: np.ndarray, k: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return (one[i + n] - one[i]) * back[i] == (two[k + n] - two[k]) * back[k]
+
+    def longest(most: np.ndarray, fits) -> np.ndarray:
+        lo, hi = np.zeros(len(most), np.int64), most.copy()
+        while (lo < hi).any():
+            mid = (lo + hi + 1) // 2
+            ok = fits(mid)
+            lo, hi = np.where(ok, mid, lo), np.where(ok, hi, mid - 1)
+        return lo
+
+    after = longest(np.minimum(len(mine) - a, len(theirs) - sa), lambda n: same(a, sa, n))
+    before = longest(np.minimum(a, sa), lambda n: same(a - n, sa - n, n))
+    edge = np.zeros(len(mine) + 1, np.int64)
+    np.add.at(edge, a - before, 1)
+    np.add.at(edge, a + after, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per pair of documents on one diagonal: runs around the anchors in which the lines are equal."""
+    """Per pair of documents: the line numbers in runs around the anchors in which the lines are equal."""
     for b in batches:
-        keys, out, src, gone = b.column("key"), [], [], []
-        anchors, mine, theirs, pos, diag = (b.column(c).to_pylist() for c in ("anchors", "hs", "shs", "pos", "diag"))
-        for i, (an, h, s, d) in enumerate(zip(anchors, mine, theirs, diag)):
-            lo, hi = max(0, d), min(len(h), len(s) + d)
-            equal = np.asarray(h[lo:hi], np.int64) == np.asarray(s[lo - d : hi - d], np.int64)
-            breaks = np.flatnonzero(~equal)
-            lines: set[int] = set()
-            for a in an:
-                if a in lines:
-                    continue
-                k = int(np.searchsorted(breaks, a - lo))
-                first = breaks[k - 1] + 1 if k else 0
-                last = breaks[k] if k < len(breaks) else len(equal)
-                lines.update(range(lo + int(first), lo + int(last)))
-            out.append(i)
-            gone.append([pos[i][x] for x in sorted(lines)])
-        yield pa.RecordBatch.from_arrays([keys.take(pa.array(out, pa.int64())), pa.array(gone, pa.list_(pa.int32()))], ["key", "gone"])
+        mine, m = _lists(b.column("hs"))
+        theirs, t = _lists(b.column("shs"))
+        pos, _ = _lists(b.column("pos"))
+        here, n = _lists(b.column("a"))
+        there, _ = _lists(b.column("sa"))
+        gone = [pos[m[i] : m[i + 1]][extend(mine[m[i] : m[i + 1]], theirs[t[i] : t[i + 1]], here[n[i] : n[i + 1]].astype(np.int64), there[n[i] : n[i + 1]].astype(np.int64))] for i in range(b.num_rows)]
+        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([g.astype(np.int32) for g in gone], pa.list_(pa.int32()))], ["key", "gone"])
 
 
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -116,7 +136,7 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     place = F.struct(F.isnull("id").alias("late"), "id", "key", "a")
     first = posts.groupBy("f", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("f", "g", F.col("first.key").alias("skey"), F.col("first.a").alias("sa"))
     later = posts.join(first, ["f", "g"]).where((F.col("key") != F.col("skey")) | (F.col("a") != F.col("sa")))
-    pairs = later.groupBy("key", "skey", (F.col("a") - F.col("sa")).alias("diag")).agg(F.collect_set("a").alias("anchors"))
+    pairs = later.groupBy("key", "skey").agg(F.collect_list(F.struct("a", "sa")).alias("at")).select("key", "skey", F.col("at.a").alias("a"), F.col("at.sa").alias("sa"))
     own = lines.select("key", "hs", "pos")
     other = lines.select(F.col("key").alias("skey"), F.col("hs").alias("shs"))
     runs = pairs.join(own, "key").join(other, "skey").mapInArrow(_extend, "key bigint, gone array<int>")
