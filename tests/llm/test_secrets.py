@@ -1,0 +1,45 @@
+import random
+import string
+
+from lexweave.llm import queries, secrets
+
+rng = random.Random(8)
+AROUND = "def connect(host, port):\n    client = build(host, port)\n    return client.open(timeout=30)\n"
+HEX = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(30)]
+B64 = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(32)) for _ in range(30)]
+
+
+def test_random_values_in_sensitive_contexts_are_found_and_words_are_not():
+    press = secrets.compressor()
+    for v in HEX + B64:
+        text = f'{AROUND}\ntoken = "{v}"\n{AROUND}'
+        ((a, z, *_),) = secrets.scan(text, press)
+        assert text[a:z] == v and secrets.mask(text, press) == f'{AROUND}\ntoken = "{secrets.MASK}"\n{AROUND}'
+        assert secrets.scan(f'{AROUND} revision = "{v}"', press) == []
+    for v in ("your-api-key-here", "xxxxxxxxxxxxxxxxxxxx", "0000000000000000", "passwordpassword", "client.open", "abcdefghijklmnopqrstuvwxyz"):
+        assert secrets.scan(f'{AROUND} password = "{v}"\n{AROUND}', press) == [], v
+    assert secrets.scan(f"auth: {HEX[0]} and once more {HEX[0]}", press) == []  # what stands around it says it all
+    assert len(secrets.scan("key AKIA" + "Q7ZX2MPL0V8KTR4B" + " end", press)) == 1
+
+
+def test_prefilter_agrees_with_the_scan(spark, make):
+    texts = [f"API-KEY: {B64[0]}", f"Bearer token := Bearer {B64[1]}", f"client_secret=>'{HEX[1]}'", "ghp_" + B64[2] + "abcd", "nothing"]
+    docs = make(*enumerate(texts))
+    press = secrets.compressor()
+    assert {r.doc_id for r in secrets.find_secrets(docs).collect()} == {i for i, t in enumerate(texts) if secrets.scan(t, press)} >= {0, 1, 2, 3}
+
+
+def test_query_against_brute_force(spark, sf):
+    press = secrets.compressor()
+    want = [(r.doc_id, a, z) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() for a, z, *_ in secrets.scan(r.text or "", press)]
+    assert sorted((r.doc_id, r.start, r.end) for r in queries.op8_secret_novelty(spark, sf).collect()) == sorted(want)
+
+
+def test_odd_rows(spark, odd, make):
+    assert secrets.find_secrets(odd).collect() == [] and secrets.find_secrets(odd.limit(0)).collect() == []
+    assert secrets.redact_secrets(odd).exceptAll(odd.toDF(*[f"_c{i}" for i in range(len(odd.columns))])).count() == 0
+    twice = make((None, f"token={HEX[3]}"), (None, f"token={HEX[3]}"))
+    assert [r.doc_id for r in secrets.find_secrets(twice).collect()] == [None, None]
+    assert {(r[1], r[4]) for r in secrets.redact_secrets(twice).collect()} == {("token=[SECRET]", 14)}
+    long = make((1, "x y " * 500_000 + f"token={HEX[4]}"))
+    assert secrets.find_secrets(long).first().start == 2_000_006
