@@ -116,7 +116,7 @@ def boundary_feature_counts(lines: DataFrame, entries: DataFrame, cap: int = LEN
     held = _collected(entries, broadcast_bytes)
     if held is None:
         rows = _substrings(lines.select(F.monotonically_increasing_id().alias("row"), "norm"), entries, "norm")
-        size, bits = F.length("word"), F.filter(F.sequence(F.lit(0), F.lit(MAX_DICTIONARIES - 1)), lambda d: F.col("in_dict").bitwiseAND(F.shiftleft(F.lit(1), d)) > 0)
+        size, bits = F.length("word"), F.expr(f"filter(sequence(0, {MAX_DICTIONARIES - 1}), d -> (in_dict & shiftleft(1, d)) > 0)")
         first = F.col("end") - size + 1
         inner = F.when(size > 1, F.transform(F.sequence(first, F.col("end") - 1), lambda b: F.struct(b.alias("b"), F.lit("I").alias("p")))).otherwise(F.array())
         sides = F.concat(inner, F.array(F.struct((first - 1).alias("b"), F.lit("R").alias("p")), F.struct(F.col("end").alias("b"), F.lit("L").alias("p"))))

@@ -43,7 +43,7 @@ def entries_of(dictionaries: list[DataFrame], numbered: bool = True) -> DataFram
         raise ValueError(f"at most {matching.MAX_DICTIONARIES} dictionaries are possible")
     out = None
     for d, df in enumerate(dictionaries):
-        word = F.when(F.size("words") == 1, F.get("words", F.lit(0))).otherwise(F.raise_error(F.concat(F.lit("a dictionary line holds one word: "), "surface")).cast("struct<norm:string,tags:array<array<struct<tag:string,score:double>>>>"))
+        word = F.when(F.size("words") == 1, F.get("words", F.lit(0))).otherwise(F.raise_error(F.concat(F.lit("a dictionary line holds one word: "), "surface")))
         rows = df.where(F.size("words") > 0).select(word["norm"].alias("word"), F.posexplode_outer(word["tags"]).alias("level", "t"), F.monotonically_increasing_id().alias("n"))
         rows = rows.select("word", "level", F.posexplode_outer(F.transform("t", lambda t: t["tag"])).alias("k", "tag"), "n")
         rows = rows.select("word", F.when(F.isnotnull("tag"), F.col("level")).alias("level"), "tag", F.lit(1 << d).alias("bit"), F.concat_ws(":", F.lit("~"), F.lpad(F.lit(str(d)), 3, "0"), F.lpad(F.col("n").cast("string"), 19, "0"), F.lpad(F.coalesce("k", F.lit(0)).cast("string"), 5, "0")).alias("seen"))
