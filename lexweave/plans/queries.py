@@ -209,13 +209,13 @@ def ws_constraint(spark, sf_dir):
     return pair.groupBy("types").agg(F.count("*").alias("predicted"), F.sum(F.col("types").isin("DD", "RR").cast("bigint")).alias("forbidden"))
 
 
-@query(_SEG + _SCORES + ", p AS (SELECT doc_id, line_no, CAST(pos - lo AS INTEGER) AS b, s, substr(surface, CAST(pos - lo AS INTEGER) + 1, 2) AS pair FROM scores ASOF JOIN g ON scores.pos >= g.lo), f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY pair ORDER BY abs(s), doc_id, line_no, b) = 1) SELECT CAST(row_number() OVER (ORDER BY abs(s), doc_id, line_no, b) AS INTEGER) AS rank, doc_id, line_no, b, s AS conf, pair FROM f ORDER BY rank LIMIT 100")
+@query(_SEG + _SCORES + ", f AS (SELECT gram AS pair, min({'a': abs(s), 'pos': pos, 's': s}) AS m FROM feats JOIN scores USING (pos) WHERE kind = 'X' AND o = 0 AND length(gram) = 2 GROUP BY gram), t AS (SELECT pair, m.a AS a, m.pos AS pos, m.s AS conf FROM f ORDER BY a, pos LIMIT 100) SELECT CAST(row_number() OVER (ORDER BY a, pos) AS INTEGER) AS rank, doc_id, line_no, CAST(pos - lo AS INTEGER) AS b, conf, pair FROM t ASOF JOIN g ON t.pos >= g.lo")
 def uncertain_points(spark, sf_dir):
     """The 100 least certain boundaries with different characters around them (a top-k report)."""
     gold, evidence = _evidence(spark, sf_dir)
     scored = ngrams.score_lines(gold, keep(ngrams.associate(evidence)), ngrams.break_bias(gold), scores="all")
-    points = scored.select(F.struct("doc_id", "line_no").alias("row"), "surface", F.posexplode("scores").alias("b", "conf"))
-    points = points.select("row", "b", "conf", F.substr("surface", F.col("b") + 1, F.lit(2)).alias("pair"))
+    points = scored.select(F.struct("doc_id", "line_no").alias("row"), "norm", F.posexplode("scores").alias("b", "conf"))
+    points = points.select("row", "b", "conf", F.substr("norm", F.col("b") + 1, F.lit(2)).alias("pair"))
     return active.uncertain_points(points, 100).select("rank", "row.doc_id", "row.line_no", "b", "conf", "pair")
 
 
