@@ -24,7 +24,7 @@ def test_stages_keep_columns_and_take_effect(spark, sf):
 def test_odd_rows_pass_every_stage(spark, odd):
     now = odd
     for _, stage in cp.STAGES[:-1]:
-        now = stage(spark, now, "")
+        now = stage(spark, now, "").cache()
         assert now.columns == odd.columns
         empty = stage(spark, odd.limit(0), "")
         assert empty.columns == odd.columns and empty.collect() == []
