@@ -4,20 +4,28 @@ A candidate is a value in a sensitive context: what is assigned to a name such
 as token, password or api_key, or a string that begins like a known kind of
 key. A compressor primed with a dictionary of identifiers compresses the text
 around the candidate with and without it; the difference is what the candidate
-adds. One that adds more than ``min_novelty`` bytes a character can't be
-derived from identifiers or from the code around it and is reported. Values
-that repeat words, names or their surroundings cost less and aren't.
+adds. One that adds at least ``min_novelty`` bytes a character can't be
+derived from identifiers or from the code around it and is reported; for values
+of digits or hex digits alone, which hold less in a character, the bound is
+lower in proportion to the bits of a character. Values that repeat words, names
+or their surroundings cost less and aren't. The other candidates of the text
+and copies of them don't count as surroundings, so a key among keys, or one
+that stands in several sensitive places, is priced as if it stood alone.
 
 Defined results:
 
 * Null or empty text has no secrets. Offsets count characters from 0; ``end`` is exclusive.
 * Repeated rows are each reported. Null ids are reported with a null id. Empty table: empty result.
+* A value in one sensitive place that is repeated near it in a place that isn't sensitive is told by that copy and isn't reported.
 * Overlapping candidates: the first and longest counts. Values themselves are never returned.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,6 +38,8 @@ from .frames import hide, pick
 MIN_NOVELTY = 0.5
 MIN_CHARS = 12
 AROUND = 256
+#: The compressor looks for no matches in the last 8 bytes: without it the name before the value would count as new, but only where the value is left out.
+TAIL = b"\n" * 8
 MASK = "[SECRET]"
 SCHEMA = "doc_id bigint, start int, end int, context string, chars int, added_bytes int, novelty double"
 
@@ -57,19 +67,49 @@ def compressor() -> zstandard.ZstdCompressor:
 def added_bytes(press: zstandard.ZstdCompressor, before: str, value: str, after: str) -> int:
     """What the value adds to the compressed size of the text around it."""
     around = f"{after}\n{before}".encode("utf-8", "surrogatepass")
-    return len(press.compress(around + value.encode("utf-8", "surrogatepass"))) - len(press.compress(around))
+    return len(press.compress(around + value.encode("utf-8", "surrogatepass") + TAIL)) - len(press.compress(around + TAIL))
+
+
+def least_bytes(value: str, min_novelty: float) -> float:
+    """What a value must add: ``min_novelty`` bytes a character of letters and digits, less for digits and hex digits."""
+    bare = re.sub(r"[-:_.]", "", value)
+    size = 10 if re.fullmatch(r"[0-9]+", bare) else 16 if re.fullmatch(r"[0-9A-Fa-f]+", bare) else 36
+    return min_novelty * len(bare if size < 36 else value) * math.log2(size) / math.log2(36)
+
+
+def places(text: str, values: set[str]) -> list[tuple[int, int, str]]:
+    """Where the values stand in the text, in order; one pass over the text, whatever their number."""
+    heads = defaultdict(list)
+    for v in values:
+        heads[v[:8]].append(v)
+    return [(i, i + len(v), v) for i in range(len(text) - 7) if text[i : i + 8] in heads for v in heads[text[i : i + 8]] if text.startswith(v, i)]
+
+
+def without(text: str, a: int, z: int, taken: list[tuple[int, int, str]], longest: int, but: str | None) -> str:
+    """The text from a to z without the places in ``taken``, those of the value ``but`` excepted."""
+    out = []
+    for i, j, v in taken[bisect_left(taken, (a - longest,)) : bisect_left(taken, (z,))]:
+        if v != but and j > a:
+            out.append(text[a : max(a, i)])
+            a = j
+    return "".join(out) + text[a:z]
 
 
 def scan(text: str, press: zstandard.ZstdCompressor, min_novelty: float = MIN_NOVELTY, around: int = AROUND) -> list[tuple[int, int, str, int, float]]:
     """(start, end, context, added bytes, novelty) of the secrets of a text."""
-    out = []
+    found = []
     for m in _FIND.finditer(text):
         k = 2 if m.group(2) is not None else 3
-        a, z = m.span(k)
-        value = m.group(k)
-        n = added_bytes(press, text[max(0, a - around) : a], value, text[z : z + around])
-        if n >= min_novelty * len(value):
-            context = re.match(r"[A-Za-z_-]+", m.group(0)).group(0).lower() if k == 2 else value[:4].lower()
+        found.append((*m.span(k), re.match(r"[A-Za-z_-]+", m.group(0)).group(0).lower() if k == 2 else m.group(k)[:4].lower()))
+    times = Counter(text[a:z] for a, z, _ in found)
+    taken = places(text, set(times)) if len(found) > 1 else []
+    longest = max(map(len, times), default=0)
+    out = []
+    for a, z, context in found:
+        value = text[a:z]
+        but = value if times[value] == 1 else None
+        n = added_bytes(press, without(text, max(0, a - around), a, taken, longest, but), value, without(text, z, min(len(text), z + around), taken, longest, but))
+        if n >= least_bytes(value, min_novelty):
             out.append((a, z, context, n, round(n / len(value), 4)))
     return out
 

@@ -22,6 +22,22 @@ def test_random_values_in_sensitive_contexts_are_found_and_words_are_not():
     assert len(secrets.scan("key AKIA" + "Q7ZX2MPL0V8KTR4B" + " end", press)) == 1
 
 
+def test_copies_in_sensitive_places_and_keys_among_keys_are_found():
+    press, r = secrets.compressor(), random.Random(9)
+    for v in HEX + B64:
+        text = f"API_KEY={v}\nexport TOKEN={v}\n# was {v}\n"
+        assert [text[a:z] for a, z, *_ in secrets.scan(text, press)] == [v, v]
+    for digits in ("0123456789abcdef", "0123456789"):
+        for n in (16, 32, 40, 64):
+            keys = ["".join(r.choice(digits) for _ in range(n)) for _ in range(200)]
+            text = "".join(f"KEY_{i}_TOKEN={v}\n" for i, v in enumerate(keys))
+            assert len(secrets.scan(text, press)) >= 198
+            dump = "".join(r.choice(digits) + "\n" * (i % 32 == 31) for i in range(256))
+            assert sum(len(secrets.scan(f"{dump}token={v}\n{dump}", press)) for v in keys) >= 190
+    many = "".join(f"token={r.randrange(1 << 64):016x}\n" for _ in range(20_000))  # in one pass
+    assert len(secrets.scan(many, press)) > 19_800
+
+
 def test_prefilter_agrees_with_the_scan(spark, make):
     texts = [f"API-KEY: {B64[0]}", f"Bearer token := Bearer {B64[1]}", f"client_secret=>'{HEX[1]}'", "ghp_" + B64[2] + "abcd", "nothing"]
     docs = make(*enumerate(texts))
