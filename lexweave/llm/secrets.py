@@ -1,8 +1,11 @@
 """Operator 8: secrets found by dictionary-primed compression.
 
-A candidate is a value in a sensitive context: what is assigned to a name such
-as token, password or api_key, or a string that begins like a known kind of
-key. A compressor primed with a dictionary of identifiers compresses the text
+A candidate is a value in a sensitive context: what is assigned, with or without
+a type, to a name such as token, password or api_key (all up to the closing
+quote, or up to white space without quotes; after bearer or basic also), the
+text of an XML element of such a name, the password of a URL, the body of a PEM
+private key, or a string that begins like a known kind of key. Values under 12
+characters are no candidates: compression can't tell them from words. A compressor primed with a dictionary of identifiers compresses the text
 around the candidate with and without it; the difference is what the candidate
 adds. One that adds at least ``min_novelty`` bytes a character can't be
 derived from identifiers or from the code around it and is reported; for values
@@ -17,7 +20,7 @@ Defined results:
 * Null or empty text has no secrets. Offsets count characters from 0; ``end`` is exclusive.
 * Repeated rows are each reported. Null ids are reported with a null id. Empty table: empty result.
 * A value in one sensitive place that is repeated near it in a place that isn't sensitive is told by that copy and isn't reported.
-* Overlapping candidates: the first and longest counts. Values themselves are never returned.
+* Overlapping candidates that are reported: one row from the first's start to the last's end. Values themselves are never returned.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frames import hide, pick
@@ -44,10 +47,37 @@ MASK = "[SECRET]"
 SCHEMA = "doc_id bigint, start int, end int, context string, chars int, added_bytes int, novelty double"
 
 _NAME = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?key|credentials?|auth)"
-#: Also Java's syntax: the scan's prefilter.
-SENSITIVE = rf"(?i){_NAME}[A-Za-z0-9_-]{{0,24}}[\"']?\s{{0,8}}(?::=|=>|=|:)\s{{0,8}}(?:bearer\s{{1,8}})?[\"']?([A-Za-z0-9+/_=.~!@$%^*-]{{{MIN_CHARS},}})"
-KNOWN = r"\b((?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})"
-_FIND = re.compile(rf"(?P<name>{SENSITIVE[4:]})|{KNOWN}", re.IGNORECASE)
+_RUN = rf"(?=[A-Za-z0-9_.:-]*?{_NAME})"
+_SCHEME = r"(?:(?:bearer|basic|token)\s++)?"
+_TYPE = r"[&*]?(?:'\w++\s++)?[A-Za-z_][\w.]*+(?:[\[<][^\n=]*?[\]>])?(?:\s*+\|\s*+\w++)*+[?]?"
+_PEM = r"-----BEGIN (?:[A-Z0-9]++ ){0,4}?PRIVATE KEY(?: BLOCK)?-----"
+_URL = r"://[^\s/?#\"'<>:@]*+:([^\s/\"'<>]+)@"
+#: Also Java's syntax, like all that the scan's prefilter takes. Each run of name characters is read from its start alone, so time is linear in the text.
+SENSITIVE = rf"(?i)(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]*?{_NAME})[A-Za-z0-9_-]++[\\\"'`\])]{{0,4}}(?:\s*+[:=]|[ \t]++{_TYPE}[ \t]*+=)"
+ELEMENT = rf"(?i)<{_RUN}[A-Za-z0-9_.:-]++(?:\s[^<>]*+)?>"
+KNOWN = r"(?i)\b((?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})"
+
+
+def _quoted() -> str:
+    """All up to the closing quote: of three, escaped ones or one, in which an escaped quote doesn't close."""
+    kinds = []
+    for q in ("\"", "'", "`"):
+        kinds += [rf"{q}{{3}}{_SCHEME}((?:(?!{q}{{3}})[\s\S])*+){q}{{3}}", rf"\\{q}{_SCHEME}((?:(?!\\{q})[^\n])*+)\\{q}", rf"{q}{_SCHEME}((?:[^{q}\\\n]|\\.)*+){q}(?!{q})"]
+    return "|".join(kinds)
+
+
+_ASSIGNED = re.compile(
+    rf"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]*?{_NAME})(?P<name>[A-Za-z0-9_-]++)[\\\"'`\])]{{0,4}}(?:\s*+:\s*+{_TYPE}\s*+=(?![=>])|[ \t]++{_TYPE}[ \t]*+=(?![=>])|\s*+(?:=>|:=|={{1,3}}|:))"
+    rf"\s*+{_SCHEME}(?:(?:[rbuf]{{1,2}}(?=[\"'`]))?(?:{_quoted()})|[\"'`\\]*+(?P<bare>\S++))",
+    re.IGNORECASE,
+)
+_ELEMENT = re.compile(rf"<{_RUN}(?P<name>[A-Za-z0-9_.:-]++)(?:\s[^<>]*+)?>(?:\s*+<!\[CDATA\[((?:(?!<!\[CDATA\[|\]\]>)[\s\S])*+)\]\]>|([^<]++)</)", re.IGNORECASE)
+_OTHER = {
+    "": re.compile(KNOWN),
+    "url": re.compile(_URL),
+    "private key": re.compile(rf"{_PEM}(?:((?:(?!-----)[\s\S])++)(?=-----END)|((?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{{16,}}+)++))"),
+}
+_WORD = re.compile(rf"{_NAME}[A-Za-z_-]*", re.IGNORECASE)
 IDENTIFIERS = (
     "public static void return import export const function class private protected string int float double boolean true false null none self this "
     "password passwd secret token api_key apikey access_key private_key client_secret credentials authorization bearer basic username user "
@@ -95,33 +125,62 @@ def without(text: str, a: int, z: int, taken: list[tuple[int, int, str]], longes
     return "".join(out) + text[a:z]
 
 
+def candidates(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, context) of each value in a sensitive context; they may overlap."""
+    found = {}
+    for kind, pattern in (("name", _ASSIGNED), ("name", _ELEMENT), *_OTHER.items()):
+        for m in pattern.finditer(text):
+            k = m.lastindex
+            a, z = m.span(k)
+            if k == pattern.groupindex.get("bare"):
+                # what closes or ends the text around a bare value isn't part of it
+                while z > a and (text[z - 1] in "\"'`,;" or (text[z - 1] in ")]}>" and "([{<"[")]}>".index(text[z - 1])] not in text[a:z])):
+                    z -= 1
+            else:
+                a, z = z - len(text[a:z].lstrip()), a + len(text[a:z].rstrip())
+            if z - a >= MIN_CHARS:
+                found.setdefault((a, z), _WORD.search(m["name"]).group(0).lower() if kind == "name" else kind or text[a : a + 4].lower())
+    return [(a, z, c) for (a, z), c in sorted(found.items(), key=lambda x: (x[0][0], -x[0][1]))]
+
+
 def scan(text: str, press: zstandard.ZstdCompressor, min_novelty: float = MIN_NOVELTY, around: int = AROUND) -> list[tuple[int, int, str, int, float]]:
     """(start, end, context, added bytes, novelty) of the secrets of a text."""
-    found = []
-    for m in _FIND.finditer(text):
-        k = 2 if m.group(2) is not None else 3
-        found.append((*m.span(k), re.match(r"[A-Za-z_-]+", m.group(0)).group(0).lower() if k == 2 else m.group(k)[:4].lower()))
+    found = candidates(text)
     times = Counter(text[a:z] for a, z, _ in found)
     taken = places(text, set(times)) if len(found) > 1 else []
     longest = max(map(len, times), default=0)
-    out = []
+
+    def price(a: int, z: int) -> int:
+        but = text[a:z] if times[text[a:z]] == 1 else None
+        return added_bytes(press, without(text, max(0, a - around), a, taken, longest, but), text[a:z], without(text, z, min(len(text), z + around), taken, longest, but))
+
+    out: list[tuple[int, int, str, int, float]] = []
     for a, z, context in found:
-        value = text[a:z]
-        but = value if times[value] == 1 else None
-        n = added_bytes(press, without(text, max(0, a - around), a, taken, longest, but), value, without(text, z, min(len(text), z + around), taken, longest, but))
-        if n >= least_bytes(value, min_novelty):
-            out.append((a, z, context, n, round(n / len(value), 4)))
+        n = price(a, z)
+        if n < least_bytes(text[a:z], min_novelty):
+            continue
+        if out and a < out[-1][1]:
+            if z <= out[-1][1]:
+                continue
+            a, _, context, *_ = out.pop()
+            n = price(a, z)
+        out.append((a, z, context, n, round(n / (z - a), 4)))
     return out
 
 
+def suspect(text: Column) -> Column:
+    """Whether the text may hold a candidate; true for all that do."""
+    return (text.rlike(f"(?i){_NAME}") & (text.rlike(SENSITIVE) | text.rlike(ELEMENT))) | text.rlike(KNOWN) | text.rlike(_URL) | text.rlike(_PEM)
+
+
 def candidates_only(text):
     """The text where it may hold a candidate, else null: only that passes to Python."""
-    return F.when(text.rlike(SENSITIVE) | text.rlike(KNOWN), text)
+    return F.when(suspect(text), text)
 
 
 def find_secrets(docs: DataFrame, min_novelty: float = MIN_NOVELTY) -> DataFrame:
     """A row for every secret."""
-    some = pick(docs, doc_id="doc_id:bigint", text="text").where(F.col("text").rlike(SENSITIVE) | F.col("text").rlike(KNOWN))
+    some = pick(docs, doc_id="doc_id:bigint", text="text").where(suspect(F.col("text")))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         press = compressor()

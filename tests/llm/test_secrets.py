@@ -38,6 +38,30 @@ def test_copies_in_sensitive_places_and_keys_among_keys_are_found():
     assert len(secrets.scan(many, press)) > 19_800
 
 
+V, B = "p#9Kd(2xLm!q8Zr", "dXNlcjpRN3pYMm1QbDB2OGt0UjRi"
+PEM = "\n".join(B64[2 * i] + B64[2 * i + 1] for i in range(8))
+#: A text before the secret, the secret and the text after it.
+FORMS = [
+    ('password = "', V, '"'), ("password: str = '", V, "'"), ("const dbPassword: string = `", V, "`;"), ("pwd: Optional[str] = b'", V, "'"), ("var token string = \"", V, '"'),
+    ('token="', "Abcdef123456#rest", '" next'), ("secret=", V, " next"), ("secret: ", "x;Q9&z<7?L|k2:Wp", "\n"), ("API_KEY" + " " * 40 + "=" + " " * 40, V, "\n"),
+    ("token_" + "of_the_second_service_" * 3 + "x = '", V, "'"), ('{"password": "', V + " a b", '", "n": 1}'), ('{\\"password\\": \\"', V, '\\"}'), ("config['password'] = '", "it\\'s" + V, "'"),
+    ("Authorization: Basic ", B, "\n"), ('-H "Authorization: Bearer ', B, '"'), ('"Authorization": "Basic ', B, '"'), ("postgres://user:", V.replace("(", "$"), "@db.example.com/x"),
+    ("<Password>", "p#9Kd(2xLm!q8Zr", "</Password>"), ('<db:password type="x">\n  ', V, "\n</db:password>"), ("<token><![CDATA[", "p<9Kd(2xLm!q8Zr", "]]></token>"), ('<property name="password" value="', V, '"/>'),
+    ("-----BEGIN RSA PRIVATE KEY-----\n", PEM, "\n-----END RSA PRIVATE KEY-----\n"), ("-----BEGIN PRIVATE KEY-----\n", PEM, ""), ("f(token=", "Abcd#ef123456", ", timeout=3)"),
+]
+
+
+def test_planted_forms_are_found_whole(spark, make):
+    press = secrets.compressor()
+    for before, v, after in FORMS:
+        text = f"{AROUND}\n{before}{v}{after}\n{AROUND}"
+        assert [text[a:z] for a, z, *_ in secrets.scan(text, press)] == [v], (before, secrets.candidates(text))
+    got = {r.doc_id: r.start for r in secrets.find_secrets(make(*[(i, "".join(f)) for i, f in enumerate(FORMS)])).collect()}
+    assert got == {i: len(f[0]) for i, f in enumerate(FORMS)}
+    for long in ("token" * 200_000, "token=" + " " * 1_000_000, "<token>" * 100_000, "-----BEGIN PRIVATE KEY-----" * 40_000, "://a:" * 200_000, "token: " * 100_000, "<token><![CDATA[" * 50_000):
+        secrets.candidates(long)  # in linear time
+
+
 def test_prefilter_agrees_with_the_scan(spark, make):
     texts = [f"API-KEY: {B64[0]}", f"Bearer token := Bearer {B64[1]}", f"client_secret=>'{HEX[1]}'", "ghp_" + B64[2] + "abcd", "nothing"]
     docs = make(*enumerate(texts))
