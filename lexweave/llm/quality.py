@@ -4,7 +4,8 @@ A line is normalised (lower case, runs of white space to one blank, trimmed)
 and hashed with its host. A line that occurs in more distinct documents of a
 host than both limits allow (``max_docs``, and ``max_share`` of the host's
 distinct documents) is boilerplate there and is removed from all documents of
-that host. A document that keeps less than ``min_keep`` of its characters is
+that host. The share asks for ``ENOUGH_DOCS`` documents at most, so that a line
+in more of them goes however large the host is. A document that keeps less than ``min_keep`` of its characters is
 rejected as depleted.
 
 Defined results:
@@ -26,6 +27,8 @@ from .frames import BROADCAST_BYTES, cut, fits, hide, pick
 MAX_DOCS = 10
 MAX_SHARE = 0.01
 MIN_KEEP = 0.5
+#: Where the share's demand stops: with 1%, from 100,000 documents of a host on.
+ENOUGH_DOCS = 1000
 
 
 def normal(line: Column) -> Column:
@@ -42,7 +45,7 @@ def line_hashes(text: Column) -> Column:
     return F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.xxhash64(x))
 
 
-def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, enough_docs: int = ENOUGH_DOCS) -> DataFrame:
     """(host, line) above both limits, from one pass over all lines."""
     slim = pick(docs, source="source", text="text").where("text is not null")
     marks = F.array_distinct(line_hashes(F.col("text")))
@@ -55,7 +58,7 @@ def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float =
     n = seen.groupBy("host", "line").agg(F.count_distinct("content").alias("n")).where((F.col("n") > max_docs) | F.isnull("line"))
     n = cut(n)
     sizes = n.where("line is null").select("host", F.col("n").alias("size"))
-    return n.where("line is not null").join(sizes, "host").where(F.col("n") > max_share * F.col("size")).select("host", "line")
+    return n.where("line is not null").join(sizes, "host").where(F.col("n") > F.least(max_share * F.col("size"), F.lit(float(enough_docs)))).select("host", "line")
 
 
 def _with_marks(work: DataFrame, where: dict[str, str], bad: DataFrame, limit: int) -> DataFrame:
@@ -73,10 +76,10 @@ def _with_marks(work: DataFrame, where: dict[str, str], bad: DataFrame, limit: i
 
 
 def line_frequency_filter(
-    docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_keep: float = MIN_KEEP, broadcast_bytes: int = BROADCAST_BYTES
+    docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_keep: float = MIN_KEEP, broadcast_bytes: int = BROADCAST_BYTES, enough_docs: int = ENOUGH_DOCS
 ) -> DataFrame:
     """The kept documents with all their columns, text without frequent lines, and ``_removed`` lines."""
-    bad = frequent_lines(docs, max_docs, max_share)
+    bad = frequent_lines(docs, max_docs, max_share, enough_docs)
     work, where = hide(docs)
     text = F.col(where["text"]).cast("string")
     marked = _with_marks(work, where, bad, broadcast_bytes)

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from lexweave.llm import quality, queries
 
 
@@ -14,6 +16,15 @@ def test_copies_count_once(spark, make):
     assert len(got) == 50 and all(r._removed == 0 for r in got)
 
 
+def test_the_share_asks_for_a_bounded_count(spark):
+    """1,001 of 150,000 documents are under 1% of the host, but over the absolute count; 1,000 aren't."""
+    n = F.col("id")
+    text = F.concat(F.lit("own words of "), n, F.when(n < 1001, "\nSubscribe now").otherwise(""), F.when(n < 1000, "\nRead more").otherwise(""))
+    docs = spark.range(150_000).select(n.alias("doc_id"), text.alias("text"), F.lit("hot").alias("source"))
+    got = quality.line_frequency_filter(docs).where("_c0 < 1002").select("_c0", "_c1", "_removed").collect()
+    assert {r[0]: (r[1].split("\n")[1:], r[2]) for r in got} == {i: (["Read more"] if i < 1000 else [], int(i < 1001)) for i in range(1002)}
+
+
 def test_both_ways_of_marking_agree(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     a, b = (quality.line_frequency_filter(docs, max_docs=2, max_share=0.001, broadcast_bytes=n) for n in (1 << 25, 0))
