@@ -4,8 +4,11 @@ A candidate is a value in a sensitive context: what is assigned, with or without
 a type, to a name such as token, password or api_key (all up to the closing
 quote, or up to white space without quotes; after bearer or basic also), the
 text of an XML element of such a name, the password of a URL, the body of a PEM
-private key, or a string that begins like a known kind of key. Values under 12
-characters are no candidates: compression can't tell them from words. A compressor primed with a dictionary of identifiers compresses the text
+private key, a string that begins like a known kind of key, or a run of 20
+letters, digits and + / _ = - or more, three digits at least, on a line with
+such a name. Values under 8 characters are no candidates, and those under 12
+only if they hold digits beside letters: compression can't tell shorter ones
+from words. A compressor primed with a dictionary of identifiers compresses the text
 around the candidate with and without it; the difference is what the candidate
 adds. One that adds at least ``min_novelty`` bytes a character can't be
 derived from identifiers or from the code around it and is reported; for values
@@ -18,7 +21,10 @@ that stands in several sensitive places, is priced as if it stood alone.
 Defined results:
 
 * Null or empty text has no secrets. Offsets count characters from 0; ``end`` is exclusive.
+* A very long text is scanned whole; the time is in proportion to its length, and its candidates are priced within ``AROUND`` characters.
+* Case, blanks and word characters are those of ASCII, in the prefilter as in the scan. Other columns, whatever their names, are kept or not read.
 * Repeated rows are each reported. Null ids are reported with a null id. Empty table: empty result.
+* An unquoted value without digits that reads as code, a call or names joined by points or underscores, is no candidate.
 * A value in one sensitive place that is repeated near it in a place that isn't sensitive is told by that copy and isn't reported.
 * Overlapping candidates that are reported: one row from the first's start to the last's end. Values themselves are never returned.
 """
@@ -39,7 +45,9 @@ from pyspark.sql import functions as F
 from .frames import hide, pick
 
 MIN_NOVELTY = 0.5
-MIN_CHARS = 12
+MIN_CHARS = 8
+#: Shorter values need a digit and a letter.
+PLAIN_CHARS = 12
 AROUND = 256
 #: The compressor looks for no matches in the last 8 bytes: without it the name before the value would count as new, but only where the value is left out.
 TAIL = b"\n" * 8
@@ -55,7 +63,14 @@ _URL = r"://[^\s/?#\"'<>:@]*+:([^\s/\"'<>]+)@"
 #: Also Java's syntax, like all that the scan's prefilter takes. Each run of name characters is read from its start alone, so time is linear in the text.
 SENSITIVE = rf"(?i)(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]*?{_NAME})[A-Za-z0-9_-]++[\\\"'`\])]{{0,4}}(?:\s*+[:=]|[ \t]++{_TYPE}[ \t]*+=)"
 ELEMENT = rf"(?i)<{_RUN}[A-Za-z0-9_.:-]++(?:\s[^<>]*+)?>"
-KNOWN = r"(?i)\b((?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})"
+KNOWN = (
+    r"(?i)(?<![A-Za-z0-9_])((?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}|[srp]k[_-](?:live_|test_|proj-)?[A-Za-z0-9_-]{20,}|xox[abeprs]-[A-Za-z0-9-]{10,}"
+    r"|AIza[A-Za-z0-9_-]{35}|ya29\.[A-Za-z0-9_-]{20,}|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}|npm_[A-Za-z0-9]{36}|pypi-[A-Za-z0-9_-]{32,}|hf_[A-Za-z0-9]{30,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})"
+)
+#: A run that counts on a line with a sensitive name; looked for where a text has such a name.
+NEARBY = r"[A-Za-z0-9+/_=-]{20}"
+NEARBY_DIGITS = 3
+NEARBY_NOVELTY = 1.2
 
 
 def _quoted() -> str:
@@ -69,15 +84,19 @@ def _quoted() -> str:
 _ASSIGNED = re.compile(
     rf"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]*?{_NAME})(?P<name>[A-Za-z0-9_-]++)[\\\"'`\])]{{0,4}}(?:\s*+:\s*+{_TYPE}\s*+=(?![=>])|[ \t]++{_TYPE}[ \t]*+=(?![=>])|\s*+(?:=>|:=|={{1,3}}|:))"
     rf"\s*+{_SCHEME}(?:(?:[rbuf]{{1,2}}(?=[\"'`]))?(?:{_quoted()})|[\"'`\\]*+(?P<bare>\S++))",
-    re.IGNORECASE,
+    re.IGNORECASE | re.ASCII,
 )
-_ELEMENT = re.compile(rf"<{_RUN}(?P<name>[A-Za-z0-9_.:-]++)(?:\s[^<>]*+)?>(?:\s*+<!\[CDATA\[((?:(?!<!\[CDATA\[|\]\]>)[\s\S])*+)\]\]>|([^<]++)</)", re.IGNORECASE)
+_ELEMENT = re.compile(rf"<{_RUN}(?P<name>[A-Za-z0-9_.:-]++)(?:\s[^<>]*+)?>(?:\s*+<!\[CDATA\[((?:(?!<!\[CDATA\[|\]\]>)[\s\S])*+)\]\]>|([^<]++)</)", re.IGNORECASE | re.ASCII)
 _OTHER = {
-    "": re.compile(KNOWN),
-    "url": re.compile(_URL),
-    "private key": re.compile(rf"{_PEM}(?:((?:(?!-----)[\s\S])++)(?=-----END)|((?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{{16,}}+)++))"),
+    "": re.compile(KNOWN, re.ASCII),
+    "url": re.compile(_URL, re.ASCII),
+    "private key": re.compile(rf"{_PEM}(?:((?:(?!-----)[\s\S])++)(?=-----END)|((?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{{16,}}+)++))", re.ASCII),
 }
-_WORD = re.compile(rf"{_NAME}[A-Za-z_-]*", re.IGNORECASE)
+_WORD = re.compile(rf"{_NAME}[A-Za-z_-]*", re.IGNORECASE | re.ASCII)
+_NEAR = re.compile(rf"{_NAME}s?(?![A-Za-z])", re.IGNORECASE | re.ASCII)
+#: What an unquoted value without digits reads as where it is code: a call, or names joined by points or underscores.
+_CODE = re.compile(r"[A-Za-z_]+(?:\([^0-9]*|(?:[._]+[A-Za-z]+)+(?:\([^0-9]*)?)", re.ASCII)
+_LONG = re.compile(rf"{NEARBY}[A-Za-z0-9+/_=-]*+")
 IDENTIFIERS = (
     "public static void return import export const function class private protected string int float double boolean true false null none self this "
     "password passwd secret token api_key apikey access_key private_key client_secret credentials authorization bearer basic username user "
@@ -125,6 +144,11 @@ def without(text: str, a: int, z: int, taken: list[tuple[int, int, str]], longes
     return "".join(out) + text[a:z]
 
 
+def likely(value: str) -> bool:
+    """Whether a value is long enough to be told from words."""
+    return len(value) >= PLAIN_CHARS or (len(value) >= MIN_CHARS and re.search("[0-9]", value) is not None and re.search("[A-Za-z]", value) is not None)
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, context) of each value in a sensitive context; they may overlap."""
     found = {}
@@ -136,10 +160,24 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
                 # what closes or ends the text around a bare value isn't part of it
                 while z > a and (text[z - 1] in "\"'`,;" or (text[z - 1] in ")]}>" and "([{<"[")]}>".index(text[z - 1])] not in text[a:z])):
                     z -= 1
+                if _CODE.fullmatch(text, a, z):
+                    continue
             else:
                 a, z = z - len(text[a:z].lstrip()), a + len(text[a:z].rstrip())
-            if z - a >= MIN_CHARS:
+            if likely(text[a:z]):
                 found.setdefault((a, z), _WORD.search(m["name"]).group(0).lower() if kind == "name" else kind or text[a : a + 4].lower())
+    lo = 0
+    for line in text.split("\n") if _NEAR.search(text) else ():
+        if len(line) >= 20:
+            names = None
+            for m in _LONG.finditer(line):
+                if sum(c.isdigit() for c in m[0]) < NEARBY_DIGITS or not any(c.isalpha() for c in m[0]):
+                    continue
+                names = [(w.start(), w.group(0).lower()) for w in _NEAR.finditer(line)] if names is None else names
+                outside = next((w for at, w in names if not m.start() <= at < m.end()), None)
+                if outside:
+                    found.setdefault((lo + m.start(), lo + m.end()), f"near {outside}")
+        lo += len(line) + 1
     return [(a, z, c) for (a, z), c in sorted(found.items(), key=lambda x: (x[0][0], -x[0][1]))]
 
 
@@ -157,7 +195,7 @@ def scan(text: str, press: zstandard.ZstdCompressor, min_novelty: float = MIN_NO
     out: list[tuple[int, int, str, int, float]] = []
     for a, z, context in found:
         n = price(a, z)
-        if n < least_bytes(text[a:z], min_novelty):
+        if n < least_bytes(text[a:z], min_novelty * (NEARBY_NOVELTY if context.startswith("near ") else 1)):
             continue
         if out and a < out[-1][1]:
             if z <= out[-1][1]:
@@ -170,7 +208,7 @@ def scan(text: str, press: zstandard.ZstdCompressor, min_novelty: float = MIN_NO
 
 def suspect(text: Column) -> Column:
     """Whether the text may hold a candidate; true for all that do."""
-    return (text.rlike(f"(?i){_NAME}") & (text.rlike(SENSITIVE) | text.rlike(ELEMENT))) | text.rlike(KNOWN) | text.rlike(_URL) | text.rlike(_PEM)
+    return (text.rlike(f"(?i){_NAME}") & (text.rlike(SENSITIVE) | text.rlike(ELEMENT) | text.rlike(NEARBY))) | text.rlike(KNOWN) | text.rlike(_URL) | text.rlike(_PEM)
 
 
 def candidates_only(text):
