@@ -12,7 +12,7 @@ CHUNK_BYTES = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-#: Word bytes: ASCII letters and digits, and all of a non-ASCII character.
+#: Word bytes: ASCII letters and digits, and all of a non-ASCII character that isn't a sign.
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -60,16 +60,52 @@ def chunks(offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
+def _classes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(gap, alone): at first bytes of separators, and of characters that are words alone, the length in bytes; else 0.
+
+    By UTF-8's first bytes: Latin-1 signs (C2, and the signs for times and
+    division), the general punctuation and symbols of U+2000 to U+2BFF, ideographic
+    punctuation, and full-width signs separate. Kana, ideographs and the letters of
+    Thai, Lao, Myanmar and Khmer, which are written without blanks, are words alone.
+    """
+    pad = np.zeros(2, np.uint8)
+    a, b, c = data, np.concatenate([data[1:], pad[:1]]), np.concatenate([data[2:], pad])
+    e2, e3, ef, f0 = a == 0xE2, a == 0xE3, a == 0xEF, a == 0xF0
+    two = ((a == 0xC2) & ~np.isin(b, (0xAA, 0xB5, 0xBA))) | ((a == 0xC3) & np.isin(b, (0x97, 0xB7)))
+    mark = e3 & (b == 0x80) & ~((c >= 0x85) & (c <= 0x87))
+    wide = ef & ((b == 0xBC) & ((c <= 0x8F) | ((c >= 0x9A) & (c <= 0xA0)) | (c >= 0xBB)) | (b == 0xBD) & ((c >= 0x9B) & (c <= 0xA5)))
+    three = (e2 & (b <= 0xAF)) | mark | wide
+    gap = two * np.int8(2) + three * np.int8(3)
+    alone3 = (e3 & ~mark) | ((a >= 0xE4) & (a <= 0xE9)) | (ef & (b >= 0xA4) & (b <= 0xAB)) | (ef & ((b == 0xBD) & (c >= 0xA6) | (b == 0xBE) & (c <= 0x9F))) | ((a == 0xE0) & (b >= 0xB8) & (b <= 0xBB)) | ((a == 0xE1) & np.isin(b, (0x80, 0x81, 0x82, 0x9E, 0x9F)))
+    alone = alone3 * np.int8(3) + (f0 & (b >= 0xA0) & (b <= 0xBF)) * np.int8(4)
+    return gap, alone
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, end) of each word; a word doesn't run over the end of its row."""
+    """(row, start, end) of each word; a word doesn't run over the end of its row.
+
+    A word is a run of letters and digits; a character of a script without blanks is one.
+    """
     flags = np.zeros(len(data) + 2, np.int8)
     flags[1:-1] = table[data]
-    # a row's end breaks a word: put starts of rows in as breaks
-    edge = np.diff(flags)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     cuts = offsets[1:-1]
     cuts = np.unique(cuts[(cuts > 0) & (cuts < len(data))])
+    high = np.flatnonzero(data >= 0xC2)
+    high = high[(data[high] != 0xC3) | np.isin(data[np.minimum(high + 1, len(data) - 1)], (0x97, 0xB7))] if len(high) else high
+    if len(high):
+        # only the bytes around those first bytes are looked at
+        near = np.stack([data[np.minimum(high + k, len(data) - 1)] for k in range(3)])
+        gap, alone = (x[::3] for x in _classes(near.T.ravel()))
+        for k in range(3):
+            at = high[gap > k] + k
+            flags[1 + at[at < len(data)]] = 0
+        one = alone > 0
+        cuts = np.unique(np.concatenate([cuts, high[one], high[one] + alone[one]]))
+        cuts = cuts[(cuts > 0) & (cuts < len(data))]
+    edge = np.diff(flags)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if len(cuts):
+        # the end of a row and a word of one character break a run
         cuts = cuts[(flags[cuts] == 1) & (flags[cuts + 1] == 1)]
         if len(cuts):
             starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
