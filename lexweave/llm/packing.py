@@ -5,15 +5,17 @@ windows of ``capacity`` tokens. A level array holds how many partially filled
 windows there are of each fill; a document goes to the level, or to a new
 window, that leaves the least sum of squared counts (ties: the fullest level).
 A document longer than a window fills whole windows first and its rest is
-placed like any other piece. Tokens are runs of characters other than white
-space.
+placed like any other piece. Tokens are those that operator 4's encoder makes
+without dropout, which are the public library's; ``unit="words"`` counts runs of
+characters other than white space instead.
 
-Shards pack independently. A shard is a range of hashes of the id, and their
+Shards pack independently. A shard is a range of hashes of id and text, and their
 number follows from the corpus' tokens, so a shard's work is the same at any size.
 
 Defined results:
 
-* Null, empty or blank text has no tokens and no row. Null ids are packed, last in their shard.
+* Null or empty text, or text without words where words are counted, has no tokens and no row. Null ids are packed, last in their shard, and spread by their texts.
+* A very long text is encoded whole. Other columns, whatever their names, aren't read.
 * Repeated rows are packed each; among rows with equal ids the shorter comes first.
 * Empty table: empty result.
 """
@@ -21,6 +23,7 @@ Defined results:
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import cut, pick
+from .pieces import MODEL, TOGETHER, encode, sent, tables
+from .wordhash import chunks, string_bytes
 
 CAPACITY = 2048
 WINDOWS_A_SHARD = 2048
@@ -82,11 +87,31 @@ def _pack_shard(capacity: int):
     return run
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, windows_a_shard: int = WINDOWS_A_SHARD) -> DataFrame:
+def _count_tokens(held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = tables(held.value)
+        for b in batches:
+            data, offsets = string_bytes(b.column("text"))
+            counts = [np.zeros(0, np.int64)]
+            for lo, hi in chunks(offsets, TOGETHER):
+                _, bounds = encode(pieces, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], np.zeros(hi - lo, np.uint64), 0.0)
+                counts.append(np.diff(bounds))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(np.concatenate(counts).astype(np.int64))], ["doc_id", "mark", "n"])
+
+    return run
+
+
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, windows_a_shard: int = WINDOWS_A_SHARD, unit: str = "tokens", model: str = MODEL) -> DataFrame:
     """A row for every piece of a document: its window, by shard and number, and where it starts there."""
-    sizes = pick(docs, doc_id="doc_id:bigint", text="text").select("doc_id", F.regexp_count("text", F.lit(r"\S+")).cast("bigint").alias("n")).where("n > 0")
-    sizes = cut(sizes)
+    if unit not in ("tokens", "words"):
+        raise ValueError("unit is tokens or words")
+    texts = pick(docs, doc_id="doc_id:bigint", text="text").where("text <> ''").select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    if unit == "words":
+        sizes = texts.select("doc_id", "mark", F.regexp_count("text", F.lit(r"\S+")).cast("bigint").alias("n"))
+    else:
+        sizes = texts.mapInArrow(_count_tokens(sent(docs.sparkSession, model)), "doc_id bigint, mark bigint, n bigint")
+    sizes = cut(sizes.where("n > 0"))
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, math.ceil(total / (capacity * windows_a_shard)))
-    spread = sizes.select("doc_id", "n", F.isnull("doc_id").alias("late"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"))
+    spread = sizes.select("doc_id", "n", F.isnull("doc_id").alias("late"), F.pmod(F.xxhash64("doc_id", "mark"), F.lit(shards)).cast("int").alias("shard"))
     return spread.groupBy("shard").applyInArrow(_pack_shard(capacity), SCHEMA)

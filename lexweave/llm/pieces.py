@@ -18,17 +18,19 @@ Defined results:
 * Repeated rows get equal ids; with equal text but other ids they differ by dropout.
 * The word mark itself (U+2581) in a text can't be told from a blank: it decodes to a blank, as in the library.
 * Texts that look like control pieces are ordinary text. Empty table: empty result.
+* A very long text is encoded whole, beside no other. Other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import pick
@@ -48,10 +50,10 @@ TOGETHER = 1 << 17
 class Pieces:
     """The pieces of a merge-type model with byte fallback, as tables for array look-up."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, model: bytes) -> None:
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = sp.get_piece_size()
         plain = {sp.id_to_piece(i): i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
         if any(chr(MARK) in p.lstrip(chr(MARK)) for p in plain):
@@ -124,8 +126,17 @@ class Pieces:
 
 
 @cache
+def tables(model: bytes) -> Pieces:
+    return Pieces(model)
+
+
 def load(path: str) -> Pieces:
-    return Pieces(path)
+    return tables(Path(path).read_bytes())
+
+
+def sent(spark: SparkSession, path: str):
+    """The model's file, read by the driver and sent to the tasks: machines need no copy of it."""
+    return spark.sparkContext.broadcast(Path(path).read_bytes())
 
 
 def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,9 +237,9 @@ def encode(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, keys: np.ndarr
     return ids.astype(np.int32), np.searchsorted(doc, np.arange(len(bounds)))
 
 
-def _encoder(model: str, dropout: float, seed: int):
+def _encoder(held, dropout: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = load(model)
+        pieces = tables(held.value)
         for b in batches:
             text = b.column("text")
             data, offsets = string_bytes(text)
@@ -251,15 +262,17 @@ def encode_documents(docs: DataFrame, model: str = MODEL, dropout: float = DROPO
     if not 0 <= dropout <= 1:
         raise ValueError("dropout is a probability")
     texts = pick(docs, id="doc_id:bigint", text="text").select("id", F.xxhash64("id", F.isnull("id")).alias("key"), "text")
-    return texts.mapInArrow(_encoder(model, dropout, seed), "doc_id bigint, ids array<int>, pieces int, round_trip boolean")
+    return texts.mapInArrow(_encoder(sent(docs.sparkSession, model), dropout, seed), "doc_id bigint, ids array<int>, pieces int, round_trip boolean")
 
 
 def decode(ids: Column, model: str = MODEL) -> Column:
     """The text of an array of ids; null for null."""
 
+    held = sent(SparkSession.active(), model)
+
     @F.arrow_udf("string")
     def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces = load(model)
+        pieces = tables(held.value)
         for a in arrays:
             yield pieces.decode(a)
 

@@ -1,3 +1,5 @@
+import sentencepiece
+
 import corpus_pipeline as cp
 from lexweave.llm import packing, secrets
 
@@ -13,7 +15,8 @@ def test_stages_keep_columns_and_take_effect(spark, sf):
     assert sizes == sorted(sizes, reverse=True) and sizes[3] < sizes[2]
     press = secrets.compressor()
     assert not any(secrets.scan(r.text, press) for r in now.collect())
-    left = {r.doc_id: len(r.text.split()) for r in now.collect() if r.text.split()}
+    library = sentencepiece.SentencePieceProcessor(model_file=packing.MODEL)
+    left = {r.doc_id: len(library.encode(r.text)) for r in now.collect() if r.text}
     got = cp.run(spark, sf).toPandas()
     assert got.groupby("doc_id").tokens.sum().to_dict() == left
     fills = got.groupby(["shard", "window"]).tokens.sum()
