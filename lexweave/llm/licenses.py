@@ -2,20 +2,22 @@
 
 Templates are word sequences of licence notices; each names the key phrases
 that must be there. How rare each of their words is follows from the document
-frequencies in the whole corpus. In a file the licence words of the highest
-inverse document frequency are looked up: ranked by it, down to where every
-template has ``anchors`` distinct words, so that none can be missed. A posting
-(template, position) and a word's place give the place where the template would
-begin; where at least ``anchors`` words (or all of a template's posted ones)
-agree on it, give or take ``slack`` words, the template is aligned, and it is
-reported if every key phrase stands where the alignment puts it, give or take
-``slack``.
+frequencies in the whole corpus. A template posts the ``posted`` rarest words of
+its key phrases, with their positions, in the index; a file's words that are posted are
+looked up, all others aren't. A posting (template, position) and a word's place
+give the place where the template would begin; where ``anchors`` words (or all
+of a template's posted ones) agree on it, give or take ``slack`` words, the
+template is aligned, and it is reported if every key phrase stands where the
+alignment puts it, give or take ``slack``. So words outside the key phrases may
+be changed, left out or put in, up to ``slack`` of them between one phrase and
+the next.
 
 Defined results:
 
-* Words are runs of letters, digits and non-ASCII characters, in lower case; all else separates.
+* Words are runs of letters, digits and non-ASCII characters other than signs, in lower case; a character of a script without blanks is a word; all else separates.
 * Null or empty text has no licence. Repeated rows are each reported. Null ids are kept.
-* Notices that overlap: each aligned template is reported. Empty table: empty result.
+* A very long text is read whole, in time in proportion to its length. Other columns, whatever their names, aren't read.
+* Notices that overlap, or that hold each other, are each reported. Empty table: empty result.
 * One row for each template and document, with the number of places and the first.
 """
 
@@ -34,35 +36,86 @@ from pyspark.sql import functions as F
 from .frames import pick
 from .wordhash import chunks, hash_word, span_hashes, string_bytes, word_spans
 
+ANY = "*"
 SCHEMA = "doc_id bigint, license string, places int, first_word int"
 ANCHORS = 2
-SLACK = 2
+POSTED = 4
+SLACK = 4
 
 
 @dataclass(frozen=True)
 class Template:
+    """A notice: its words, ``*`` for a word that may be any, and the phrases that must stand in it."""
+
     name: str
     text: str
     phrases: tuple[str, ...]
 
 
+def _line(name: str, text: str) -> Template:
+    return Template(name, text, (text,))
+
+
+def _gnu(name: str, kind: str, version: str) -> Template:
+    """The header that goes at the start of files under a licence of this family."""
+    return Template(
+        name,
+        f"This program is free software: you can redistribute it and/or modify * * the terms of the {kind} as published by the Free Software Foundation, * version {version} of the License",
+        ("you can redistribute it and or modify", f"terms of the {kind} as published by", f"version {version} of the license"),
+    )
+
+
+_SPDX = (
+    "MIT", "MIT-0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "ISC", "Zlib", "Unlicense", "BSL-1.0", "WTFPL", "MPL-2.0", "EPL-2.0", "EUPL-1.2", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0",
+    "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later",
+)
 TEMPLATES = (
-    Template("MIT", "released under the MIT License", ("released under the mit license",)),
+    # lines that name a licence
+    _line("MIT", "released under the MIT License"),
+    Template("MIT-title", "MIT License Copyright", ("mit license copyright",)),
+    _line("Apache-2.0", "licensed under the Apache License, Version 2.0"),
+    Template("GPL-3.0", "This work is licensed under the GNU General Public License, version 3", ("licensed under the gnu general public license version 3",)),
+    _line("GPL-2.0", "licensed under the GNU General Public License, version 2"),
+    _line("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
+    _line("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
+    _line("CC-BY-4.0", "Licensed under CC BY 4.0"),
+    Template("CC0-1.0", "Released under CC0 1.0 Universal public domain dedication", ("cc0 1 0 universal",)),
+    _line("All-rights-reserved", "All rights reserved"),
+    *(
+        _line(f"CC-{code}-4.0-name", f"licensed under a Creative Commons {name} 4.0 International License")
+        for code, name in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+    ),
+    *(_line(f"SPDX:{name}", f"SPDX-License-Identifier: {name}") for name in _SPDX),
+    # texts and headers
     Template(
         "MIT-text",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of * software and associated documentation files (the Software), to deal in the Software without restriction, including * limitation the rights to use, copy, modify, merge, publish, * sublicense, and/or sell copies of the Software",
         ("permission is hereby granted free of charge", "to deal in the software without restriction"),
     ),
-    Template("Apache-2.0", "licensed under the Apache License, Version 2.0", ("licensed under the apache license version 2 0",)),
-    Template("GPL-3.0", "This work is licensed under the GNU General Public License, version 3", ("licensed under the gnu general public license version 3",)),
-    Template("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0", ("licensed under cc by nc 4 0",)),
-    Template("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0", ("licensed under cc by sa 4 0",)),
-    Template("CC-BY-4.0", "Licensed under CC BY 4.0", ("licensed under cc by 4 0",)),
-    Template("CC0-1.0", "Released under CC0 1.0 Universal public domain dedication", ("cc0 1 0 universal",)),
+    Template(
+        "ISC-text",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is * granted, provided that the above copyright notice and this permission notice appear in all copies",
+        ("permission to use copy modify and or distribute this software", "with or without fee", "permission notice appear in all copies"),
+    ),
+    Template(
+        "BSD",
+        "Redistribution and use in source and binary forms, with or without modification, * permitted provided that the following conditions are met",
+        ("redistribution and use in source and binary forms", "permitted provided that the following conditions are met"),
+    ),
+    Template("BSD-3-Clause-names", "Neither the name of * * * nor the names of its contributors may be used to endorse or promote products * from this software", ("neither the name of", "names of its contributors may be used to endorse or promote products")),
+    Template("Zlib-text", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for * damages arising from the use of this software", ("in no event will the authors be held liable", "arising from the use of this software")),
+    Template("Apache-2.0-header", "Licensed under the Apache License, Version 2.0 (the License); you * not use this file except in compliance with * License", ("licensed under the apache license version 2 0", "not use this file except in compliance with")),
+    _gnu("GPL-3.0-header", "GNU General Public License", "3"),
+    _gnu("GPL-2.0-header", "GNU General Public License", "2"),
+    _gnu("LGPL-3.0-header", "GNU Lesser General Public License", "3"),
+    _gnu("LGPL-2.1-header", "GNU Lesser General Public License", "2 1"),
+    _gnu("AGPL-3.0-header", "GNU Affero General Public License", "3"),
     Template("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("subject to the terms of the mozilla public license v 2 0",)),
-    Template("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms", "are permitted provided that the following conditions are met")),
-    Template("All-rights-reserved", "All rights reserved", ("all rights reserved",)),
-)
+    Template("EPL-2.0", "made available under the terms of the Eclipse Public License 2.0", ("under the terms of the eclipse public license 2 0",)),
+    Template("BSL-1.0", "Distributed under the Boost Software License, Version 1.0", ("under the boost software license version 1 0",)),
+    Template("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, * compile, sell, or distribute this software", ("free and unencumbered software released into the public domain",)),
+    Template("WTFPL", "Do what the fuck you want to public license", ("what the fuck you want to public license",)),
+)
 
 
 def split(text: str) -> list[str]:
@@ -84,21 +137,25 @@ class Index:
 
 
 def vocabulary(templates: tuple[Template, ...]) -> list[str]:
-    return sorted({w for t in templates for w in split(t.text)})
+    return sorted({w for t in templates for w in _words(t)} - {ANY})
+
+
+def _words(template: Template) -> list[str]:
+    return [w for part in template.text.split() for w in ([ANY] if part == ANY else split(part))]
 
 
-def build(templates: tuple[Template, ...], frequency: dict[str, int], documents: int, anchors: int) -> Index:
+def build(templates: tuple[Template, ...], frequency: dict[str, int], documents: int, anchors: int, posted: int = POSTED) -> Index:
     idf = {w: math.log((documents + 1) / (frequency.get(w, 0) + 1)) for w in vocabulary(templates)}
-    words = [split(t.text) for t in templates]
-    # ranks down to the anchors-th rarest word of each template
-    floor = min(sorted((idf[w] for w in set(ws)), reverse=True)[: min(anchors, len(set(ws)))][-1] for ws in words)
     postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
     needed, phrases = [], []
-    for k, (t, ws) in enumerate(zip(templates, words)):
+    for k, t in enumerate(templates):
+        ws = _words(t)
+        # words of the key phrases: where these stand, the template is found
+        rarest = sorted({w for p in t.phrases for w in split(p)}, key=lambda w: (-idf[w], w))[:posted]
         for i, w in enumerate(ws):
-            if idf[w] >= floor:
+            if w in rarest:
                 postings[hash_word(w)].append((k, i))
-        needed.append(min(anchors, len({w for w in ws if idf[w] >= floor})))
+        needed.append(min(anchors, len(rarest)))
         own = []
         for p in t.phrases:
             pw = split(p)
@@ -132,8 +189,9 @@ def match(words: np.ndarray, places: np.ndarray, index: Index, slack: int) -> di
                 lo += 1
             if len({i for _, i in pairs[lo : hi + 1]}) < index.needed[k]:
                 continue
-            for s in {s for s, _ in pairs[lo : hi + 1]}:
-                at = [_phrase_at(words, ph, s + off, slack) for off, ph in index.phrases[k]]
+            starts_ = sorted({s for s, _ in pairs[lo : hi + 1]})
+            for s in starts_:
+                at = [next((x for o in sorted(starts_, key=lambda o: abs(o - s)) if (x := _phrase_at(words, ph, o + off, slack)) is not None), None) for off, ph in index.phrases[k]]
                 if all(x is not None for x in at):
                     found[k].add(at[0])
     return found
