@@ -24,7 +24,7 @@ def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chosen_path_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_pairs(read_table(spark, sf_dir, "documents"))
+    return neardup.near_classes(read_table(spark, sf_dir, "documents"))
 
 
 def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
