@@ -46,11 +46,12 @@ def _collected(entries: DataFrame, limit: int) -> dict[str, int] | None:
 
 
 def _substrings(lines: DataFrame, entries: DataFrame, column: str) -> DataFrame:
-    """Matches by equi-join of all substrings no longer than an entry."""
-    most = entries.agg(F.coalesce(F.max(F.length("word")), F.lit(0))).first()[0]
+    """Matches by equi-join of the substrings that are as long as some entry."""
+    # a row a length: their number, not the longest, bounds the rows of a character
+    sizes = sorted(r[0] for r in entries.select(F.length("word")).distinct().collect())
     at = F.explode(F.sequence(F.lit(1), F.length(column)))
-    n = F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.length(column) - F.col("at") + 1)))
-    parts = lines.where((F.length(column) > 0) & F.lit(most > 0)).withColumn("at", at).withColumn("n", n)
+    n = F.explode(F.filter(F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>"), lambda x: x <= F.length(column) - F.col("at") + 1))
+    parts = lines.where(F.length(column) > 0).withColumn("at", at).withColumn("n", n)
     parts = parts.withColumn("word", F.substr(column, F.col("at"), F.col("n")))
     return parts.join(entries, "word").withColumn("end", F.col("at") + F.col("n") - 2).drop("at", "n")
 

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,8 @@ ORDER = 3
 CHUNK = 1 << 19
 #: Largest compiled table, in bytes, that is sent to every executor.
 BROADCAST_BYTES = 64 << 20
+#: Lines, as a power of two, that share a table of weights where the whole is too large to send.
+BLOCK_BITS = 12
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _TYPE = np.array([ord(char_type(c)) for c in range(0x30000)], np.uint32)
 
@@ -76,7 +78,7 @@ def _touched(at: np.ndarray, o: int, line: np.ndarray, room: np.ndarray) -> tupl
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: str, size: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     for b in batches:
-        texts = b.column(column).to_pylist()
+        texts = [t or "" for t in b.column(column).to_pylist()]
         lo = used = 0
         for i, t in enumerate(texts):
             used += len(t)
@@ -109,16 +111,32 @@ def _tally(window: int, order: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in _chunks(batches, "norm"):
-            ends = b.column("ends")
-            total = sum(map(len, texts))
-            breaks = np.zeros(total + 1, bool)
-            shift = np.repeat(np.concatenate([[0], np.cumsum([len(t) for t in texts])[:-1]]), ends.value_lengths().to_numpy())
-            breaks[ends.flatten().to_numpy() + shift - 1] = True
+            # the words of a line are as long as the line: their ends follow from running sums
+            breaks = np.zeros(sum(map(len, texts)) + 1, bool)
+            breaks[np.cumsum(b.column("lengths").flatten().to_numpy()) - 1] = True
             yield from count(texts, breaks)
 
     return run
 
 
+def inner_ends(words: Column) -> Column:
+    """The boundaries at which the words end, the last one's excepted."""
+
+    @F.arrow_udf("array<int>")
+    def run(lengths: pa.Array) -> pa.Array:
+        many = lengths.value_lengths().fill_null(0).to_numpy()
+        ends = np.cumsum(lengths.flatten().to_numpy(), dtype=np.int64)
+        last = np.cumsum(many)
+        before = np.where(many > 0, np.concatenate([[0], ends])[last - many], 0)
+        inner = np.ones(len(ends), bool)
+        inner[last[many > 0] - 1] = False
+        flat = (ends - np.repeat(before, many) - 1)[inner].astype(np.int32)
+        bounds = np.concatenate([[0], np.cumsum(np.maximum(many - 1, 0))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))
+
+    return run(F.transform(words, lambda w: F.length(w)))
+
+
 def tally_schema(window: int) -> str:
     return "kind string, gram string, " + ", ".join([f"p{k} bigint" for k in range(2 * window)] + [f"n{k} bigint" for k in range(2 * window)])
 
@@ -128,8 +146,7 @@ def count_evidence(lines: DataFrame, window: int = WINDOW, order: int = ORDER) -
 
     ``lines`` has ``norm`` and ``words``; column k stands for offset ``k + 1 - window``.
     """
-    ends = F.transform(F.sequence(F.lit(1), F.size("words")), lambda k: F.aggregate(F.slice("words", 1, k), F.lit(0), lambda s, w: s + F.length(w)))
-    slim = lines.select("norm", ends.alias("ends")) if "ends" not in lines.columns else lines.select("norm", "ends")
+    slim = lines.where(F.length("norm") > 0).select("norm", F.transform("words", lambda w: F.length(w)).alias("lengths"))
     sums = [F.sum(f"{c}{k}").alias(f"{c}{k}") for c in "pn" for k in range(2 * window)]
     return slim.mapInArrow(_tally(window, order), tally_schema(window)).groupBy("kind", "gram").agg(*sums)
 
@@ -190,60 +207,79 @@ def size_of(weights: DataFrame) -> int:
     return weights.count() * (8 + 8 * sum(c.startswith("w") for c in weights.columns))
 
 
+def _scored(lookup: Lookup, b: pa.RecordBatch, texts: list[str], names: list[str], scores: bool | str) -> pa.RecordBatch:
+    flat, bounds = codes(texts)
+    line, room = _layout(bounds)
+    total = lookup.score(flat, bounds, line, room)
+    places = np.flatnonzero(room > 1)
+    hit = places[total[places] > 0]
+
+    def lists(at: np.ndarray, values: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(line[at], np.arange(len(texts) + 1)).astype(np.int32)), pa.array(values))
+
+    more = [] if not scores else [lists(places, total[places])] if scores == "all" else [lists(hit, total[hit])]
+    return pa.RecordBatch.from_arrays([*[b.column(c) for c in names], lists(hit, (hit - bounds[:-1][line[hit]]).astype(np.int32)), *more], [*names, "breaks", *["scores"] * len(more)])
+
+
 def score_lines(lines: DataFrame, weights: DataFrame, bias: int = 0, broadcast_bytes: int = BROADCAST_BYTES, scores: bool | str = False) -> DataFrame:
     """The lines with ``breaks``: the boundaries that score above 0; on demand also their ``scores``, or those of ``"all"`` boundaries.
 
-    A table that is small enough goes to every task and nothing is shuffled;
-    a larger one is joined n-gram by n-gram.
+    A table that is small enough goes to every task and nothing is shuffled; of a
+    larger one each block of lines is sent the n-grams that occur in it. Null
+    lines have no boundaries.
     """
+    schema = T.StructType([*lines.schema, T.StructField("breaks", T.ArrayType(T.IntegerType())), *([T.StructField("scores", T.ArrayType(T.LongType()))] if scores else [])])
+    names = lines.columns
     if size_of(weights) > broadcast_bytes:
-        return _score_by_join(lines, weights, bias, scores)
+        return _score_by_blocks(lines, weights, bias, scores, schema)
     held = lines.sparkSession.sparkContext.broadcast(compile_lookup(weights, bias))
-    names = lines.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = held.value
         for b, texts in _chunks(batches, "norm"):
-            flat, bounds = codes(texts)
-            line, room = _layout(bounds)
-            total = lookup.score(flat, bounds, line, room)
-            places = np.flatnonzero(room > 1)
-            hit = places[total[places] > 0]
+            yield _scored(held.value, b, texts, names, scores)
 
-            def lists(at: np.ndarray, values: np.ndarray) -> pa.Array:
-                return pa.ListArray.from_arrays(pa.array(np.searchsorted(line[at], np.arange(len(texts) + 1)).astype(np.int32)), pa.array(values))
+    return lines.mapInArrow(run, schema)
 
-            more = [] if not scores else [lists(places, total[places])] if scores == "all" else [lists(hit, total[hit])]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], lists(hit, (hit - bounds[:-1][line[hit]]).astype(np.int32)), *more], [*names, "breaks", *["scores"] * len(more)])
 
-    schema = T.StructType([*lines.schema, T.StructField("breaks", T.ArrayType(T.IntegerType())), *([T.StructField("scores", T.ArrayType(T.LongType()))] if scores else [])])
-    return lines.mapInArrow(run, schema)
+def _block_grams(order: int):
+    """The distinct n-grams of each block of lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, texts in _chunks(batches, "norm"):
+            block = b.column("_block").to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
+            for lo, hi in zip(cuts, cuts[1:]):
+                flat, bounds = codes(texts[lo:hi])
+                _, room = _layout(bounds)
+                for kind, seq in (("X", flat), ("T", type_codes(flat))):
+                    for n in range(1, order + 1):
+                        at, h = gram_hashes(seq, room, n)
+                        if len(at):
+                            first = at[np.unique(h, return_index=True)[1]]
+                            grams = [seq[f : f + n].tobytes().decode("utf-32-le", "surrogatepass") for f in first]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), block[lo])), pa.array([kind] * len(grams)), pa.array(grams)], ["_block", "kind", "gram"])
+
+    return run
 
 
-def gram_occurrences(lines: DataFrame, order: int = ORDER) -> DataFrame:
-    """(row, size, kind, at, gram) of every n-gram of ``norm`` and of its types; ``lines`` has ``row``."""
-    from ..functions.text import type_string
-
-    size = F.length("norm")
-    places = lines.select("row", size.alias("size"), "norm", type_string(F.col("norm")).alias("types"), F.explode(F.sequence(F.lit(0), size - 1)).alias("at"), F.lit(order).alias("order"))
-    many = places.withColumn("n", F.explode(F.sequence(F.lit(1), F.least("order", F.col("size") - F.col("at")))))
-    both = many.select("row", "size", "at", "n", F.explode(F.create_map(F.lit("X"), F.col("norm"), F.lit("T"), F.col("types"))).alias("kind", "text"))
-    return both.select("row", "size", "kind", "at", F.substr("text", F.col("at") + 1, F.col("n")).alias("gram"))
-
-
-def _score_by_join(lines: DataFrame, weights: DataFrame, bias: int, scores: bool | str) -> DataFrame:
-    width = sum(c.startswith("w") for c in weights.columns)
-    keyed = lines.withColumn("row", F.struct("doc_id", "line_no"))
-    grams = gram_occurrences(keyed.where(F.length("norm") > 1))
-    each = F.posexplode(F.array(*[f"w{k}" for k in range(width)])).alias("k", "w")
-    shares = grams.join(weights, ["kind", "gram"]).select("row", "size", "at", each)
-    shares = shares.select("row", (F.col("at") - F.col("k") - 1 + width // 2).alias("b"), "w", "size").where("b >= 0 and b < size - 1")
-    sums = shares.groupBy("row", "b").agg((F.sum("w") + bias).alias("s"))
-    entry = F.struct(F.col("b").cast("int").alias("b"), "s")
-    lists = sums.groupBy("row").agg(F.array_sort(F.collect_list(entry)).alias("all"))
-    out = keyed.join(lists, "row", "left").withColumn("all", F.coalesce("all", F.array().cast("array<struct<b:int,s:bigint>>"))).withColumn("hits", F.filter("all", lambda x: x["s"] > 0))
-    more = [F.col("all.s" if scores == "all" else "hits.s").alias("scores")] if scores else []
-    return out.select(*lines.columns, F.col("hits.b").alias("breaks"), *more)
+def _score_by_blocks(lines: DataFrame, weights: DataFrame, bias: int, scores: bool | str, schema: T.StructType) -> DataFrame:
+    """The same, over a table of any size: blocks of lines meet the weights of their own n-grams alone."""
+    from .storage import keep
+
+    names = lines.columns
+    order = weights.agg(F.coalesce(F.max(F.length("gram")), F.lit(1))).first()[0]
+    numbered = keep(lines.withColumn("_block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)))
+    grams = numbered.select("_block", "norm").mapInArrow(_block_grams(order), "_block bigint, kind string, gram string")
+    found = grams.join(weights, ["kind", "gram"])
+    columns = [c for c in weights.columns if c.startswith("w")]
+
+    def run(own: pa.Table, known: pa.Table) -> pa.Table:
+        table = np.stack([known.column(c).to_numpy() for c in columns], 1).astype(np.int64)
+        lookup = Lookup(known.column("kind").to_pylist(), known.column("gram").to_pylist(), table, bias)
+        parts = [_scored(lookup, b, texts, names, scores) for b, texts in _chunks(iter(own.to_batches()), "norm")]
+        return pa.Table.from_batches(parts)
+
+    return numbered.groupBy("_block").cogroup(found.groupBy("_block")).applyInArrow(run, schema)
 
 
 def spans(surface: str = "surface", breaks: str = "breaks"):

@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder that all machines share; one of our own only where there is a single machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        named = tempfile.mkdtemp(prefix="lexweave-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    return named
 
 
 def keep(df: DataFrame) -> DataFrame:
     """The frame computed once and written to the shared folder: survives lost executors."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexweave-"))
+        sc.setCheckpointDir(folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -194,8 +194,7 @@ def ws_accuracy(spark, sf_dir):
     """Of the flagship's breaks, how many there are, are predicted and are right, and the sum of their scores."""
     gold, evidence = _evidence(spark, sf_dir)
     scored = ngrams.score_lines(gold, keep(ngrams.associate(evidence)), ngrams.break_bias(gold), scores=True)
-    own = F.transform(F.sequence(F.lit(1), F.size("words")), lambda k: F.aggregate(F.slice("words", 1, k), F.lit(-1), lambda s, w: s + F.length(w)))
-    out = scored.withColumn("own", F.slice(own, 1, F.greatest(F.size("words") - 1, F.lit(0))))
+    out = scored.withColumn("own", ngrams.inner_ends(F.col("words")))
     total = lambda c: F.sum(c).cast("bigint")
     return out.agg(total(F.length("norm") - 1).alias("points"), total(F.size("own")).alias("breaks"), total(F.size("breaks")).alias("predicted"), total(F.size(F.array_intersect("own", "breaks"))).alias("correct"), total(F.aggregate("scores", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("total"))
 
