@@ -48,7 +48,7 @@ THRESHOLD = 0.5
 TREES = 8
 LEAF = 200
 DEPTH = 8
-TILE = 1024
+TILE = 512
 DENSE = 0.25
 #: Signature bytes, or incidences, that are compared at once.
 AT_ONCE = 1 << 25
@@ -431,8 +431,9 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREE
     first = cut(sorted_(wide).mapInArrow(_compare(threshold, False), FOUND))
     result = first.where("node is null").select("key", "links", "other")
     open_ = first.where("node is not null").drop("links", "other")
-    asked = open_.select("key").distinct().join(signed.select("key", "rk", "th"), "key")
-    texts = _marked(docs).join(asked, ["rk", "th"]).select("key", "text").dropDuplicates(["key"])
+    asked = cut(open_.select("key").distinct().join(signed.select("key", "rk", "th"), "key"))
+    # texts stay where they are as long as the keys of those asked for can be sent
+    texts = _marked(docs).join(maybe_broadcast(asked, asked.count(), 48, broadcast_bytes), ["rk", "th"]).select("key", "text").dropDuplicates(["key"])
     sets = texts.mapInArrow(_sets, "key bigint, shingles array<int>")
     second = sorted_(open_.join(sets, "key")).mapInArrow(_compare(threshold, True), FOUND)
     result = cut(result.unionByName(second.select("key", "links", "other")))
