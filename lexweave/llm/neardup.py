@@ -48,7 +48,7 @@ THRESHOLD = 0.5
 TREES = 8
 LEAF = 200
 DEPTH = 8
-TILE = 512
+TILE = 1024
 DENSE = 0.25
 #: Signature bytes, or incidences, that are compared at once.
 AT_ONCE = 1 << 25
@@ -433,8 +433,9 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREE
     open_ = first.where("node is not null").drop("links", "other")
     asked = cut(open_.select("key").distinct().join(signed.select("key", "rk", "th"), "key"))
     # texts stay where they are as long as the keys of those asked for can be sent
-    texts = _marked(docs).join(maybe_broadcast(asked, asked.count(), 48, broadcast_bytes), ["rk", "th"]).select("key", "text").dropDuplicates(["key"])
-    sets = texts.mapInArrow(_sets, "key bigint, shingles array<int>")
+    texts = _marked(docs).join(maybe_broadcast(asked, asked.count(), 48, broadcast_bytes), ["rk", "th"]).select("key", "text")
+    # equal rows have equal sets
+    sets = texts.mapInArrow(_sets, "key bigint, shingles array<int>").dropDuplicates(["key"])
     second = sorted_(open_.join(sets, "key")).mapInArrow(_compare(threshold, True), FOUND)
     result = cut(result.unionByName(second.select("key", "links", "other")))
     links = result.groupBy("key").agg(F.sum("links").cast("int").alias("links")).withColumnRenamed("key", "rep")
