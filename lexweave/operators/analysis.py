@@ -19,6 +19,7 @@ from ..sources import formats
 from . import ngram_lm, ngrams, subwords
 from .matching import boundary_features
 from .model import Model
+from .storage import limited
 from .training import Lexicon
 
 _NGRAM = re.compile(r"([XT])(-?[0-9]+)(.+)", re.DOTALL)
@@ -182,6 +183,8 @@ def analyze(sentences: DataFrame, model: Model, **changes) -> DataFrame:
     config = model.config.with_(**changes) if changes else model.config
     if config.segment and model.units.where("model = 'ws'").isEmpty():
         raise ValueError("the model can't segment: it was trained without")
+    for t, text in (("vocab", "word"), ("weights", "name"), ("subwords", "subword"), ("lm", "ngram")):
+        limited(getattr(model, t), text)
     tables = {t: [tuple(r.values()) for r in getattr(model, t).select(*cols).toArrow().to_pylist()] for t, cols in (
         ("vocab", ["word", "in_dict", "level", "tag", "tag_index", "tag_in_dict"]), ("labels", ["model", "class", "label"]), ("units", ["model", "unit"]),
         ("weights", ["model", "name", "class", "w"]), ("subwords", ["subword", "level", "tag", "logp"]), ("lm", ["level", "n", "ngram", "logp", "logbackoff"]))}

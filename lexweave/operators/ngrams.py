@@ -282,6 +282,14 @@ def _score_by_blocks(lines: DataFrame, weights: DataFrame, bias: int, scores: bo
     return numbered.groupBy("_block").cogroup(found.groupBy("_block")).applyInArrow(run, schema)
 
 
+def constrained(breaks: str, types: str, kinds: str) -> Column:
+    """The breaks but those between two characters of the same type, if that is one of ``kinds``."""
+    if set(kinds) - set("KTHRDO"):
+        raise ValueError("types are among K T H R D O")
+    pair = lambda b: F.substr(F.col(types), b + 1, F.lit(2))
+    return F.filter(breaks, lambda b: ~pair(b).isin([k + k for k in kinds]))
+
+
 def spans(surface: str = "surface", breaks: str = "breaks"):
     """The words that the breaks make of the surface."""
     starts = F.concat(F.array(F.lit(0)), F.transform(breaks, lambda b: b + 1))

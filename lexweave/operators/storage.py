@@ -7,6 +7,7 @@ import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -26,3 +27,15 @@ def keep(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+#: Largest table of a model, in bytes, that is sent through the driver to the tasks.
+SENT_BYTES = 512 << 20
+
+
+def limited(df: DataFrame, text: str, most: int = SENT_BYTES) -> DataFrame:
+    """The frame, if it is small enough to be sent whole; else an error that says so before anything is collected."""
+    n = df.agg(F.coalesce(F.sum(F.octet_length(text) + 64), F.lit(0))).first()[0]
+    if n > most:
+        raise ValueError(f"a table of {n} bytes is too large to be sent to every task: {', '.join(df.columns)}")
+    return df

@@ -5,13 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..config import Config
 from . import ngram_lm
-from .storage import keep
+from .storage import keep, limited
 
 LONGEST = 256
 
@@ -19,22 +21,26 @@ LONGEST = 256
 def align(word: str, tag: str, offers: dict[str, list[str]]) -> list[tuple[str, str]] | None:
     """The first way to write word and tag side by side as subwords and their tags; shorter subwords are tried first."""
     dead: set[tuple[int, int]] = set()
+    longest = max(map(len, offers), default=0)
 
-    def walk(i: int, j: int) -> list[tuple[str, str]] | None:
-        if i == len(word):
-            return [] if j == len(tag) else None
-        if (i, j) in dead:
-            return None
-        for e in range(i + 1, len(word) + 1):
+    def ways(i: int, j: int) -> Iterator[tuple[int, int, str]]:
+        for e in range(i + 1, min(len(word), i + longest) + 1):
             for t in offers.get(word[i:e], ()):
                 if tag.startswith(t, j):
-                    rest = walk(e, j + len(t))
-                    if rest is not None:
-                        return [(word[i:e], t), *rest]
-        dead.add((i, j))
-        return None
-
-    return walk(0, 0)
+                    yield e, j + len(t), t
+
+    path, open_ = [(0, 0, "")], [ways(0, 0)]
+    while open_:
+        if path[-1][:2] == (len(word), len(tag)):
+            return [(word[a:b], t) for (a, _, _), (b, _, t) in zip(path, path[1:])]
+        step = next((x for x in open_[-1] if x[:2] not in dead), None)
+        if step is None:
+            dead.add(path.pop()[:2])
+            open_.pop()
+        else:
+            path.append(step)
+            open_.append(ways(*step[:2]))
+    return None
 
 
 def alignments(pairs: DataFrame, offers: DataFrame) -> DataFrame:
@@ -46,7 +52,7 @@ def alignments(pairs: DataFrame, offers: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(t, align(w, t, sent.value)) for w, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if len(w) <= LONGEST]
+            found = [(t, align(w, t, sent.value)) for w, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             found = [(t, [{"subword": a, "tag": c} for a, c in p]) for t, p in found if p]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.list_(pa.struct([("subword", pa.string()), ("tag", pa.string())])))], ["tag", "parts"])
 
@@ -58,15 +64,40 @@ def at_least(counts: list[int]) -> list[int]:
     return [sum(c > k for c in counts) for k in range(max(counts, default=0))]
 
 
-def concentration(parts: list[int], totals: list[int], kinds: list[int], start: float = 1e-4, stop: float = 1e-7, most: float = 100.0) -> float:
+def at_least_histogram(rows: DataFrame, count: str) -> DataFrame:
+    """(k, n): for each count k that occurs, how many rows have at least that one."""
+    seen = rows.groupBy(F.col(count).alias("k")).agg(F.count("*").alias("m"))
+    # a row a distinct count, far fewer than rows
+    return seen.select("k", F.sum("m").over(W.orderBy(F.desc("k"))).alias("n"))
+
+
+def _gamma_slopes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and second derivative of the logarithm of the gamma function."""
+    x = np.asarray(x, float).copy()
+    one, two = np.zeros_like(x), np.zeros_like(x)
+    for _ in range(8):
+        one -= 1 / x
+        two += 1 / x**2
+        x += 1
+    r = 1 / x**2
+    one += np.log(x) - 0.5 / x - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r / 240)))
+    two += 1 / x + 0.5 * r + (r / x) * (1 / 6 - r * (1 / 30 - r * (1 / 42 - r / 30)))
+    return one, two
+
+
+def concentration(parts: dict[int, int], totals: dict[tuple[int, int], int], start: float = 1e-4, stop: float = 1e-7, most: float = 100.0) -> float:
     """The strength of a Dirichlet prior by Newton's method on the likelihood of the counts; 1 if it runs away.
 
-    ``parts``: a count for each (tag, subword); ``totals`` and ``kinds``: of each tag, its count and how many subwords offer it.
+    ``parts``: how many (tag, subword) have each count; ``totals``: how many tags
+    have each count and number of subwords that offer it.
     """
-    a, up, down = start, at_least(parts), [(t, k) for t, k in zip(totals, kinds) if t]
+    a = start
+    c, m = (np.array(x, float) for x in zip(*((c, m) for c, m in parts.items() if c))) if any(parts) else (np.zeros(0), np.zeros(0))
+    n, u, k = (np.array(x, float) for x in zip(*((n, u, k) for (n, u), k in totals.items() if n))) if any(n for n, _ in totals) else (np.zeros(0),) * 3
     for _ in range(1000):
-        g = sum(n / (a + k) for k, n in enumerate(up)) - sum(u / (a * u + k) for t, u in down for k in range(t))
-        h = -sum(n / (a + k) ** 2 for k, n in enumerate(up)) + sum((u / (a * u + k)) ** 2 for t, u in down for k in range(t))
+        (c1, c2), (b1, b2), (n1, n2), (u1, u2) = (_gamma_slopes(x) for x in (a + c, np.array([a]), a * u + n, a * u))
+        g = float((m * (c1 - b1)).sum() - (k * u * (n1 - u1)).sum())
+        h = float((m * (c2 - b2)).sum() - (k * u * u * (n2 - u2)).sum())
         if h == 0:
             break
         step = -g / h
@@ -94,8 +125,9 @@ def train(vocab: DataFrame, offers: DataFrame, levels: list[int], config: Config
         at = aligned.where(F.length("tag") > 0).select("tag", F.explode(F.sequence(F.lit(1), F.length("tag"))).alias("at"))
         part = at.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("tag") - F.col("at") + 1)), lambda n: F.substr("tag", F.col("at"), n))).alias("tag"))
         occurs = part.groupBy("tag").agg(F.count("*").alias("occ"))
-        rows, sums = counted.select("c").toArrow().to_pydict(), totals.select("n", "kinds").toArrow().to_pydict()
-        a = concentration(rows["c"], sums["n"], sums["kinds"])
+        # a row a distinct count
+        parts = {r[0]: r[1] for r in counted.groupBy("c").count().collect()}
+        a = concentration(parts, {(r[0], r[1]): r[2] for r in totals.groupBy("n", "kinds").count().collect()})
         both = counted.join(totals, "tag").join(occurs, "tag", "left")
         p = (F.col("c") + a) / (F.col("n") + a * F.col("kinds")) * F.col("n") / F.col("occ")
         own = both.where("n > 0 and occ > 0").select(F.col("word").alias("subword"), F.lit(lev).alias("level"), "tag", F.log(p).alias("logp"))
@@ -144,3 +176,22 @@ def tag_unknown(word: str, offers: dict[str, list[tuple[str, float]]], lm: ngram
         raw = list(sums.items())
     ranked = sorted(((t, s / total) for t, s in raw), key=lambda x: (-x[1], x[0]))
     return ranked[:most] if most else ranked
+
+
+def tag_words(words: DataFrame, sub: DataFrame, lm: DataFrame, level: int, config: Config) -> DataFrame:
+    """(word, rank, tag, score): the ranked tags of each word as an unknown one."""
+    limited(sub, "subword")
+    limited(lm, "ngram")
+    offers: dict[str, list[tuple[str, float]]] = {}
+    for r in sub.where(F.col("level") == level).orderBy("subword", "tag").select("subword", "tag", "logp").toArrow().to_pylist():
+        offers.setdefault(r["subword"], []).append((r["tag"], r["logp"]))
+    rows = [tuple(r.values()) for r in lm.where(F.col("level") == level).select("n", "ngram", "logp", "logbackoff").toArrow().to_pylist()]
+    held = words.sparkSession.sparkContext.broadcast((offers, ngram_lm.Model(rows, config.lm_order)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, model = held.value
+        for b in batches:
+            found = [(w, k + 1, t, s) for w in b.column(0).to_pylist() if w for k, (t, s) in enumerate(tag_unknown(w, own, model, config.beam, config.tag_max))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.float64()))], ["word", "rank", "tag", "score"])
+
+    return words.select("word").mapInArrow(run, "word string, rank int, tag string, score double")

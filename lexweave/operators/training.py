@@ -14,7 +14,7 @@ from ..functions import features, solvers
 from ..functions.text import type_text
 from . import matching, subwords
 from .model import LABELS, LM, SUBWORDS, UNITS, VOCAB, WEIGHTS, Model
-from .storage import keep
+from .storage import keep, limited
 
 #: (model, seen, label, features): a training row; ``seen`` orders labels and features.
 ROWS = "model string, seen string, label string, features array<string>"
@@ -85,6 +85,7 @@ class Lexicon:
 
 
 def training_rows(sentences: DataFrame, vocab: DataFrame, config: Config, levels: int) -> DataFrame:
+    limited(vocab, "word")
     held = sentences.sparkSession.sparkContext.broadcast([tuple(r.values()) for r in vocab.select("word", "in_dict", "level", "tag", "tag_index", "tag_in_dict").toArrow().to_pylist()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +145,41 @@ def fit(rows: DataFrame, config: Config) -> DataFrame:
     return rows.groupBy("model").applyInArrow(_fit(config), FITTED)
 
 
-def train(sentences: DataFrame, config: Config | None = None, dictionaries: list[DataFrame] | None = None, subword_dictionaries: list[DataFrame] | None = None, rows: DataFrame | None = None) -> Model:
+#: Features of a segmentation model that is fitted over all partitions; the most frequent ones where there are more.
+SPREAD_FEATURES = 1 << 20
+
+
+def fit_spread(rows: DataFrame, config: Config) -> DataFrame:
+    """As fit, for the segmentation model: all partitions work on one optimum, whatever the number of boundaries."""
+    from pyspark.ml.classification import LinearSVC, LogisticRegression
+    from pyspark.ml.feature import CountVectorizer
+
+    if config.solver not in (0, 3, 6, 7):
+        raise ValueError("solvers 0, 3, 6 and 7 are there over all partitions")
+    # the bias is a feature of every row, without a name, so that it is held down like others
+    named = F.concat("features", F.array(F.lit(""))) if config.bias > 0 else F.col("features")
+    own = keep(rows.where("model = 'ws'").select((F.col("label") == "1").cast("double").alias("label"), F.array_distinct(named).alias("names")))
+    n, hits = own.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    spark, labels = rows.sparkSession, [("ws", "label", x, i, 0, 0.0) for i, x in enumerate(("1", "-1")) if (hits if x == "1" else n - hits) > 0]
+    if not n:
+        return spark.createDataFrame([], FITTED)
+    if len(labels) < 2:
+        return spark.createDataFrame([*labels, ("ws", "unit", None, 0, 0, 1.0), ("ws", "w", "", 0, 1 if hits else -1, 0.0)], FITTED)
+    words = CountVectorizer(inputCol="names", outputCol="x", binary=True, vocabSize=SPREAD_FEATURES).fit(own)
+    common = {"featuresCol": "x", "regParam": 1 / (config.cost * n), "fitIntercept": False, "standardization": False, "maxIter": 300, "tol": min(config.eps, 0.01) * 1e-4}
+    learner = LinearSVC(**common) if config.solver == 3 else LogisticRegression(elasticNetParam=1.0 if config.solver == 6 else 0.0, **common)
+    w = learner.fit(words.transform(own)).coefficients.toArray()
+    small, unit = solvers.quantize(w[:, None])
+    kept = [("ws", "w", name, 0, int(x), 0.0) for name, x in zip(words.vocabulary, small[:, 0]) if x]
+    return spark.createDataFrame([*labels, ("ws", "unit", None, 0, 0, float(unit)), *kept], FITTED)
+
+
+def train_spread(sentences: DataFrame, config: Config | None = None, **options) -> Model:
+    """As train, with the segmentation model fitted over all partitions."""
+    return train(sentences, config, spread=True, **options)
+
+
+def train(sentences: DataFrame, config: Config | None = None, dictionaries: list[DataFrame] | None = None, subword_dictionaries: list[DataFrame] | None = None, rows: DataFrame | None = None, spread: bool = False) -> Model:
     """A model of annotated sentences.
 
     ``sentences`` has ``seen`` (a string that orders them) beside a sentence's
@@ -159,7 +194,9 @@ def train(sentences: DataFrame, config: Config | None = None, dictionaries: list
         raise ValueError("training needs an annotated sentence, a dictionary or training rows")
     levels = vocab.agg(F.coalesce(F.max("level"), F.lit(-1)) + 1).first()[0] if config.tag else 0
     data = training_rows(used, vocab, config, levels)
-    fitted = keep(fit(data if rows is None else data.unionByName(rows.select("model", "seen", "label", "features")), config))
+    data = data if rows is None else data.unionByName(rows.select("model", "seen", "label", "features"))
+    fitted = fit(data.where("model <> 'ws'"), config).unionByName(fit_spread(data, config)) if spread else fit(data, config)
+    fitted = keep(fitted)
     sub, lm = spark.createDataFrame([], SUBWORDS), spark.createDataFrame([], LM)
     if subword_dictionaries:
         alone = [lev for lev in range(levels) if lev not in config.global_levels and lev not in config.skip_levels]

@@ -12,6 +12,8 @@ has been split. A last line without a line end counts like any other.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +34,17 @@ def format_name(name: str) -> str:
     return FORMATS[name]
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _hold(line: Column) -> Column:
-    """Escaped characters as noncharacters; a backslash at the end is an error."""
+    """Escaped characters as noncharacters; a backslash at the end is an error. A line without backslashes is as it was."""
+    return F.when(F.contains(line, F.lit("\\")), _held(line)).otherwise(line)
+
+
+def _held(line: Column) -> Column:
     out = F.replace(line, F.lit("\\\\"), F.lit(_HELD[_SPECIAL.index("\\")]))
     for c, held in zip(_SPECIAL, _HELD):
         if c != "\\":
@@ -62,14 +73,17 @@ def _no_tags() -> Column:
 
 def word_confs(words: Column) -> Column:
     """What the words say of the places between characters."""
-    inner = F.flatten(F.transform(words, lambda w: F.concat(F.array_repeat(F.lit(-SURE), F.length(w["surface"]) - 1), F.array(F.lit(SURE)))))
-    return F.when(F.size(inner) > 0, F.slice(inner, 1, F.size(inner) - 1)).otherwise(F.array().cast("array<double>"))
+    inner = F.flatten(F.transform(words["surface"], lambda s: F.concat(F.array_repeat(F.lit(-SURE), F.length(s) - 1), F.array(F.lit(SURE)))))
+    return _let(inner, lambda i: F.when(F.size(i) > 0, F.slice(i, 1, F.size(i) - 1)).otherwise(F.array().cast("array<double>")))
 
 
 def _sentence(words: Column, surface: Column | None = None, confs: Column | None = None) -> Column:
-    surface = F.array_join(F.transform(words, lambda w: w["surface"]), "") if surface is None else surface
-    confs = word_confs(words) if confs is None else confs
-    return F.struct(surface.alias("surface"), normalize(surface).alias("norm"), confs.alias("ws_confs"), words.alias("words")).cast(SENTENCE)
+    def whole(w: Column) -> Column:
+        text = F.array_join(w["surface"], "") if surface is None else surface
+        parts = [w, word_confs(w) if confs is None else confs]
+        return _let(text, lambda t: F.struct(t.alias("surface"), normalize(t).alias("norm"), parts[1].alias("ws_confs"), parts[0].alias("words")))
+
+    return _let(words.cast(f"array<{WORD}>"), whole)
 
 
 def read_raw(line: Column) -> Column:
