@@ -21,6 +21,12 @@ def folder(spark: SparkSession) -> str:
     return named
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate data."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """The frame computed once and written to the shared folder: survives lost executors."""
     sc = df.sparkSession.sparkContext

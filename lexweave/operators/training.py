@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -150,15 +151,13 @@ SPREAD_FEATURES = 1 << 20
 
 
 def fit_spread(rows: DataFrame, config: Config) -> DataFrame:
-    """As fit, for the segmentation model: all partitions work on one optimum, whatever the number of boundaries."""
+    """As fit, for the segmentation model: all partitions work on one optimum, whatever the number of boundaries. The bias isn't held down."""
     from pyspark.ml.classification import LinearSVC, LogisticRegression
     from pyspark.ml.feature import CountVectorizer
 
     if config.solver not in (0, 3, 6, 7):
         raise ValueError("solvers 0, 3, 6 and 7 are there over all partitions")
-    # the bias is a feature of every row, without a name, so that it is held down like others
-    named = F.concat("features", F.array(F.lit(""))) if config.bias > 0 else F.col("features")
-    own = keep(rows.where("model = 'ws'").select((F.col("label") == "1").cast("double").alias("label"), F.array_distinct(named).alias("names")))
+    own = keep(rows.where("model = 'ws'").select((F.col("label") == "1").cast("double").alias("label"), F.array_distinct("features").alias("names")))
     n, hits = own.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     spark, labels = rows.sparkSession, [("ws", "label", x, i, 0, 0.0) for i, x in enumerate(("1", "-1")) if (hits if x == "1" else n - hits) > 0]
     if not n:
@@ -166,11 +165,11 @@ def fit_spread(rows: DataFrame, config: Config) -> DataFrame:
     if len(labels) < 2:
         return spark.createDataFrame([*labels, ("ws", "unit", None, 0, 0, 1.0), ("ws", "w", "", 0, 1 if hits else -1, 0.0)], FITTED)
     words = CountVectorizer(inputCol="names", outputCol="x", binary=True, vocabSize=SPREAD_FEATURES).fit(own)
-    common = {"featuresCol": "x", "regParam": 1 / (config.cost * n), "fitIntercept": False, "standardization": False, "maxIter": 300, "tol": min(config.eps, 0.01) * 1e-4}
+    common = {"featuresCol": "x", "regParam": 1 / (config.cost * n), "fitIntercept": config.bias > 0, "standardization": False, "maxIter": 100, "tol": min(config.eps, 0.01) * 1e-4}
     learner = LinearSVC(**common) if config.solver == 3 else LogisticRegression(elasticNetParam=1.0 if config.solver == 6 else 0.0, **common)
-    w = learner.fit(words.transform(own)).coefficients.toArray()
-    small, unit = solvers.quantize(w[:, None])
-    kept = [("ws", "w", name, 0, int(x), 0.0) for name, x in zip(words.vocabulary, small[:, 0]) if x]
+    found = learner.fit(words.transform(own))
+    small, unit = solvers.quantize(np.append(found.coefficients.toArray(), found.intercept / abs(config.bias))[:, None])
+    kept = [("ws", "w", name, 0, int(x), 0.0) for name, x in zip([*words.vocabulary, ""], small[:, 0]) if x]
     return spark.createDataFrame([*labels, ("ws", "unit", None, 0, 0, float(unit)), *kept], FITTED)
 
 
