@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.storage import keep
+
 #: Largest table, in bytes, that an operator sends to every executor.
 BROADCAST_BYTES = 32 << 20
 
@@ -46,17 +47,9 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, text, F.isnull(doc_id), F.isnull(text))
 
 
-def shared_folder(spark: SparkSession) -> None:
-    """Make checkpoints possible; a folder of our own only where the cluster names none."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexweave-"))
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The frame computed once and kept in the shared folder: survives lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return keep(df)
 
 
 def fits(rows: int, bytes_a_row: int, limit: int = BROADCAST_BYTES) -> bool:

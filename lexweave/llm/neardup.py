@@ -45,7 +45,7 @@ BINS = 256
 TOKENS = 64
 SHINGLE = 3
 THRESHOLD = 0.5
-TREES = 8
+TREES = 6
 LEAF = 200
 DEPTH = 8
 TILE = 1024
@@ -421,7 +421,7 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREE
     found = leaves(reps, signed, threshold, leaf, depth)
     code = F.shiftleft(F.col("rank").cast("bigint"), 56) + F.shiftrightunsigned("node", 8)
     found = cut(found.select("key", "node", code.alias("code"), F.ceil(F.col("n") / tile).cast("int").alias("tiles")))
-    # a document's nodes: sixteen, and those below large ones
+    # a document's nodes: two a tree, and those below large ones
     own = found.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("code", "node", "tiles"))).alias("at"))
     wide = own.join(signed.select("key", "bins", "sig"), "key").select("key", "bins", "sig", F.col("at.code").alias("codes"), F.explode("at").alias("x")).select("key", "bins", "sig", "codes", "x.*")
     mine = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
