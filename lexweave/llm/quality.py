@@ -14,7 +14,9 @@ Defined results:
 * Null, empty or blank text: rejected, nothing is left of it. Blank lines are never removed.
 * Null host: a host of its own. Null id: kept or rejected like any other.
 * Repeated rows: each is kept or rejected alike. Empty table: empty result.
-* A document that loses no line keeps its text byte for byte.
+* A document that loses no line keeps its text byte for byte. Very long texts are read whole.
+* Other columns are kept as they are, whatever their names; ``n_chars`` follows the text.
+* Lines are told apart by a hash of 64 bits with that of their host.
 """
 
 from __future__ import annotations

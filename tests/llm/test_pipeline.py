@@ -33,3 +33,28 @@ def test_odd_rows_pass_every_stage(spark, odd):
         assert empty.columns == odd.columns and empty.collect() == []
     assert cp.STAGES[-1][1](spark, odd.limit(0), "").collect() == []
     assert sorted(str(r[0]) for r in now.collect()) == ["1", "5", "None"]
+
+
+def test_an_empty_table_passes_the_whole_pipeline(spark, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    assert cp.run(spark, str(tmp_path)).collect() == []
+
+
+def test_each_stage_does_its_part(spark, make):
+    """Clean documents stay as they are; what is planted for one stage is caught by it."""
+    clean = [(i, "\n".join(f"document {i} line {k} holds word{i * 31 + k} and word{i * 17 + k * 7} alone" for k in range(6)), f"h{i % 3}") for i in range(30)]
+    footer = "subscribe to our letter for more of this"
+    boiler = [(100 + i, "\n".join([f"text {i} number {k} goes with mark{i * 13 + k}" for k in range(5)] + [footer]), "hot") for i in range(14)]
+    passage = "\n".join(f"shared passage line {k} with a good many words that stand here to be found again" for k in range(8))
+    runs = [(200, f"own start of the first\n{passage}", "r"), (201, f"another start altogether, of the second one here\n{passage}\nand an end of its own", "r")]
+    base = [f"w{k * 37 % 1009}" for k in range(80)]
+    near = [(300, " ".join(base), "n"), (301, " ".join([*base[:40], "changed", *base[41:]]), "n")]
+    secret = [(400, "config of the service follows\ntoken = 'q7ZxP20vLk81TbnM4s'\nend of the config", "s")]
+    now = make(*clean, *boiler, *runs, *near, *secret)
+    for _, stage in cp.STAGES[:-1]:
+        now = stage(spark, now, "").cache()
+    left = {r.doc_id: r.text for r in now.collect()}
+    assert all(left[i] == t for i, t, _ in clean) and not any(footer in t for t in left.values())
+    assert left[200] == runs[0][1] and left[201] == "another start altogether, of the second one here\nand an end of its own"
+    assert 300 in left and 301 not in left and secrets.MASK in left[400] and "q7Zx" not in left[400]
+    assert set(left) == {i for i, *_ in clean} | {100 + i for i in range(14)} | {200, 201, 300, 400}

@@ -31,6 +31,13 @@ def test_both_ways_of_marking_agree(spark, sf):
     assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0
 
 
+def test_null_hosts_are_one_host(spark):
+    rows = [(i, f"own words of document {i} are these\nfooter of no host", None) for i in range(12)] + [(50, "words of a host\nfooter of no host", "a"), (None, "kept without an id", None)]
+    got = quality.line_frequency_filter(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    by = {r[0]: (r[1], r._removed) for r in got}
+    assert by[3] == ("own words of document 3 are these", 1) and by[50] == (rows[12][1], 0) and by[None] == ("kept without an id", 0) and len(got) == 14
+
+
 def test_odd_rows(spark, odd):
     got = quality.line_frequency_filter(odd)
     assert len(got.columns) == len(odd.columns) + 1
