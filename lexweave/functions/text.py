@@ -73,7 +73,7 @@ def type_text(text: str) -> str:
 
 def chars(text: Column) -> Column:
     """The characters (code points) of a text; none of an empty one."""
-    return F.filter(F.split(text, ""), lambda c: c != "")
+    return F.slice(F.split(text, ""), 1, F.length(text))
 
 
 def escape(text: Column, special: str = " /&\\") -> Column:

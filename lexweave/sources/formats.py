@@ -64,7 +64,7 @@ def _tags(slots: Column, score: float = SURE) -> Column:
 
 def _word(surface: Column, tags: Column, certain: Column | bool = True) -> Column:
     certain = certain if isinstance(certain, Column) else F.lit(certain)
-    return F.struct(surface.alias("surface"), normalize(surface).alias("norm"), tags.alias("tags"), certain.alias("is_certain"), F.lit(False).alias("unknown"))
+    return _let(surface, lambda s: F.struct(s.alias("surface"), normalize(s).alias("norm"), tags.alias("tags"), certain.alias("is_certain"), F.lit(False).alias("unknown")))
 
 
 def _no_tags() -> Column:
@@ -102,11 +102,11 @@ def read_full(line: Column) -> Column:
     tokens = F.filter(F.split(_hold(line), " "), lambda t: t != "")
 
     def word(token: Column) -> Column:
-        parts = F.split(token, "/")
-        head = F.get(parts, F.lit(0))
-        wrong = (head == "") | F.contains(head, F.lit("&"))
-        head = F.when(wrong, F.raise_error(F.concat(F.lit("no word before its tags: "), token))).otherwise(_release(head))
-        return _word(head, _tags(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))))
+        def whole(parts: Column) -> Column:
+            tags = _tags(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))))
+            return _let(F.get(parts, F.lit(0)), lambda head: _word(F.when((head == "") | F.contains(head, F.lit("&")), F.raise_error(F.concat(F.lit("no word before its tags: "), token))).otherwise(_release(head)), tags))
+
+        return _let(F.split(token, "/"), whole)
 
     return F.when(F.isnotnull(line), _sentence(F.transform(tokens, word)))
 
@@ -184,7 +184,7 @@ def write_partial(s: Column, confidence: float = 0.0) -> Column:
     marks = F.transform(s["ws_confs"], lambda c: F.when(c > confidence, "|").when(c < -confidence, "-").otherwise(" "))
     sure = lambda t: F.array_join(F.transform(F.filter(t, lambda c: c["score"] > confidence), lambda c: c["tag"]), "&")
     slots = lambda w: F.array_join(F.transform(w["tags"], lambda t: F.concat(F.lit("/"), sure(t))), "")
-    held = F.flatten(F.transform(s["words"], lambda w: F.concat(F.array_repeat(F.lit(""), F.length(w["surface"]) - 1), F.array(F.regexp_replace(slots(w), "/+$", "")))))
+    held = F.flatten(F.transform(s["words"], lambda w: F.concat(F.array_repeat(F.lit(""), F.length(w["surface"]) - 1), F.array(F.when(F.size(w["tags"]) > 0, F.regexp_replace(slots(w), "/+$", "")).otherwise("")))))
     cells = F.arrays_zip(chars(s["surface"]).alias("c"), held.alias("t"), marks.alias("m"))
     return F.array_join(F.transform(cells, lambda x: F.concat(x["c"], F.coalesce(x["t"], F.lit("")), F.coalesce(x["m"], F.lit("")))), "")
 
