@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import limited
+
 #: Stands before the first symbol; texts may not hold it.
 PAD = "\x00"
 
@@ -43,6 +48,22 @@ def probabilities(counted: DataFrame) -> DataFrame:
     return own.join(below, ["n", "ngram"], "full_outer")
 
 
+def score_words(words: DataFrame, probabilities: DataFrame, order: int = 3) -> DataFrame:
+    """(word, logp): the sum over a word's symbols, with back-off."""
+    limited(probabilities, "ngram")
+    table = probabilities.select("n", "ngram", "logp", "logbackoff").toArrow().to_pylist()
+    held = words.sparkSession.sparkContext.broadcast(Model([tuple(r.values()) for r in table], order))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [w or "" for w in b.column(0).to_pylist()]
+            padded = [PAD * (order - 1) + w for w in own]
+            sums = [sum(held.value.score(p[: k + order - 1], c) for k, c in enumerate(w)) for w, p in zip(own, padded)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sums, pa.float64())], ["word", "logp"])
+
+    return words.select("word").mapInArrow(run, "word string, logp double")
+
+
 class Model:
     """The model as maps, for scoring in a task."""
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..config import Config
 from ..functions import text as X
-from ..operators import active, analysis, lines, linear, ngrams, subwords, tagging, training
+from ..operators import active, analysis, lines, linear, ngram_lm, ngrams, subwords, tagging, training
 from ..operators.storage import keep
 from ..sources import formats
 from . import queries as Q
@@ -266,6 +266,50 @@ def merge_annotations(spark, sf_dir):
     return merged.select("row.doc_id", "row.line_no", "line")
 
 
+# plain formats, words and scores of the symbol model
+@query(f"SELECT doc_id, line_no, line AS surface, CAST(greatest(length(line) - 1, 0) AS INTEGER) AS open_places FROM ({Q._LINES})")
+def raw_read(spark, sf_dir):
+    out = formats.parse(lines.split_lines(table(spark, sf_dir, "documents").where("text is not null")), "raw", "line")
+    return out.select("doc_id", "line_no", "surface", F.size(F.filter("ws_confs", lambda c: c == 0)).alias("open_places"))
+
+
+@query(f"SELECT doc_id, line_no, array_to_string(words, ' ') AS line, array_to_string(words, '') AS raw FROM ({Q._GOLD})")
+def tok_write(spark, sf_dir):
+    """Sentences as tokenized and as raw lines."""
+    out = formats.parse(lines.gold(table(spark, sf_dir, "documents")).select("doc_id", "line_no", F.array_join("words", " ").alias("line")), "tok", "line")
+    return out.select("doc_id", "line_no", formats.write_tokenized(formats.sentence()).alias("line"), formats.write_raw(formats.sentence()).alias("raw"))
+
+
+@query("SELECT t AS token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[ .,\n]|[^ .,\n]+')) AS t FROM documents) GROUP BY t")
+def tokenize(spark, sf_dir):
+    """Parts between delimiters, which are parts too."""
+    return table(spark, sf_dir, "documents").select(F.explode(X.tokenize(F.col("text"), " .,\n", keep=True)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query(Q._SEG + Q._SCORES + """, cuts AS (SELECT lo, list(b ORDER BY b) AS c FROM (SELECT lo, b, CAST(lo + b AS BIGINT) AS pos FROM (SELECT lo, unnest(range(size - 1)) AS b FROM g)) JOIN scores USING (pos) WHERE s > 0 GROUP BY lo)
+SELECT doc_id, line_no, array_to_string(list_transform(range(len(c) + 1), lambda k: substr(surface, CAST(CASE WHEN k = 0 THEN 1 ELSE c[k] + 2 END AS INTEGER), CAST(CASE WHEN k = len(c) THEN size ELSE c[k + 1] + 1 END - CASE WHEN k = 0 THEN 0 ELSE c[k] + 1 END AS INTEGER))), ' ') AS line FROM (SELECT g.*, coalesce(c, []) AS c FROM g LEFT JOIN cuts USING (lo))""")
+def ws_words(spark, sf_dir):
+    """Segmented lines as text."""
+    gold, evidence = Q._evidence(spark, sf_dir)
+    out = ngrams.score_lines(gold, keep(ngrams.associate(evidence)), ngrams.break_bias(gold))
+    return out.select("doc_id", "line_no", F.array_join(ngrams.spans(), " ").alias("line"))
+
+
+@query(f"""WITH {Q._COUNTS}, {Q._DISC}, r AS MATERIALIZED (SELECT n, ngram, c, d, left(ngram, n - 1) AS ctx FROM counted JOIN disc USING (n)), t AS MATERIALIZED (SELECT n, ctx, sum(c) AS total, count(*) AS kinds, any_value(d) AS d FROM r GROUP BY n, ctx),
+own AS MATERIALIZED (SELECT n, ngram, ln((c - r.d) / total) AS logp FROM r JOIN t USING (n, ctx)), back AS MATERIALIZED (SELECT n - 1 AS n, ctx AS ngram, ln(kinds * d / total) AS b FROM t),
+words AS (SELECT DISTINCT {Q._norm('w')} AS word FROM (SELECT unnest(string_split_regex(text, '[ 
+]+')) AS w FROM benchmark) WHERE w <> ''),
+g AS (SELECT word, substr(chr(1) || chr(1) || word, i, 3) AS g FROM (SELECT word, CAST(unnest(range(1, length(word) + 1)) AS INTEGER) AS i FROM words))
+SELECT word, round(sum(coalesce(o3.logp, coalesce(b2.b, 0) + coalesce(o2.logp, coalesce(b1.b, 0) + coalesce(o1.logp, (SELECT b FROM back WHERE n = 0) - ln(10000))))), 6) AS logp FROM g
+LEFT JOIN own o3 ON o3.n = 3 AND o3.ngram = g LEFT JOIN back b2 ON b2.n = 2 AND b2.ngram = left(g, 2) LEFT JOIN own o2 ON o2.n = 2 AND o2.ngram = substr(g, 2, 2) LEFT JOIN back b1 ON b1.n = 1 AND b1.ngram = substr(g, 2, 1) LEFT JOIN own o1 ON o1.n = 1 AND o1.ngram = substr(g, 3, 1)
+GROUP BY word""")
+def lm_score(spark, sf_dir):
+    """The symbol model's log probability of the benchmark's words, the end not counted."""
+    model = ngram_lm.probabilities(keep(Q._counted(spark, sf_dir)))
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "[ \n]+")).alias("w")).where("w <> ''").select(X.normalize(F.col("w")).alias("word")).distinct()
+    return ngram_lm.score_words(words, model).select("word", F.round("logp", 6).alias("logp"))
+
+
 # dictionary features of boundaries
 _DICT_FEATURES = f"""WITH {Q._DICT}, g AS MATERIALIZED (SELECT row_number() OVER () AS rid, norm FROM ({Q._GOLD})), sizes AS (SELECT DISTINCT length(word) AS n FROM dict),
 m AS MATERIALIZED (SELECT rid, j AS a, j + n - 2 AS z, n, in_dict, length(norm) AS size FROM (SELECT rid, norm, j, n, substr(norm, CAST(j AS INTEGER), CAST(n AS INTEGER)) AS word FROM (SELECT rid, norm, unnest(range(1, length(norm) + 1)) AS j FROM g), sizes WHERE j + n - 1 <= length(norm)) JOIN dict USING (word)),
