@@ -51,7 +51,7 @@ DEPTH = 8
 TILE = 1024
 DENSE = 0.25
 #: Signature bytes, or incidences, that are compared at once.
-AT_ONCE = 1 << 25
+AT_ONCE = 1 << 23
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
