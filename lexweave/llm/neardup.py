@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .frames import BROADCAST_BYTES, cut, fits, hide, maybe_broadcast, pick, row_key, unhide
-from .wordhash import chunks, mix, span_hashes, string_bytes, word_spans
+from .wordhash import chunks, mix, relax, span_hashes, string_bytes, word_spans
 
 BINS = 256
 #: Coordinates that nodes below the first choose from, as tokens of 32 bits.
@@ -155,6 +155,7 @@ def _sign(trees: int, threshold: float):
                     _bytes((sig & np.uint64(255)).astype(np.uint8)), _bytes(sig[:, :: BINS // TOKENS].astype(np.uint32)),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * nodes.shape[1]), pa.array(nodes.view(np.int64).ravel())),
                 ], ["id", "rk", "th", "c1", "c2", "bins", "sig", "tok", "nodes"])
+        relax()
 
     return run
 
@@ -366,6 +367,7 @@ def _compare(threshold: float, exact: bool):
                 n = rest.num_rows
                 columns = [rest.column("key"), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), *(rest.column(c) for c in names[3:])]
                 yield from pa.table(columns, names).cast(pa.schema([("key", pa.int64()), ("links", pa.int32()), ("other", pa.int64()), ("node", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("side", pa.int32()), ("code", pa.int64()), ("bins", pa.int16()), ("sig", pa.binary()), ("codes", pa.list_(pa.int64()))])).to_batches()
+        relax()
 
     return run
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .frames import cut, pick
 from .pieces import MODEL, TOGETHER, encode, sent, tables
-from .wordhash import chunks, string_bytes
+from .wordhash import chunks, relax, string_bytes
 
 CAPACITY = 2048
 WINDOWS_A_SHARD = 2048
@@ -97,6 +97,7 @@ def _count_tokens(held):
                 _, bounds = encode(pieces, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], np.zeros(hi - lo, np.uint64), 0.0)
                 counts.append(np.diff(bounds))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(np.concatenate(counts).astype(np.int64))], ["doc_id", "mark", "n"])
+        relax()
 
     return run
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import pick
-from .wordhash import chunks, mix, string_bytes
+from .wordhash import chunks, mix, relax, string_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
@@ -253,6 +253,7 @@ def _encoder(held, dropout: float, seed: int):
                 same = pc.equal(back, pc.replace_substring(text.slice(lo, hi - lo).fill_null(""), chr(MARK), " "))
                 no = pa.scalar(None, lists.type)
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(lo, hi - lo), pc.if_else(known, lists, no), pc.if_else(known, pc.list_value_length(lists), pa.scalar(None, pa.int32())), pc.if_else(known, same, pa.scalar(None, pa.bool_()))], ["doc_id", "ids", "pieces", "round_trip"])
+        relax()
 
     return run
 
