@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize
+from .storage import keep
 
 
 def number_rows(df: DataFrame, order: list[Column], name: str = "id", start: int = 1) -> DataFrame:
@@ -14,7 +15,8 @@ def number_rows(df: DataFrame, order: list[Column], name: str = "id", start: int
     Sorted range partitions number their own rows; the partitions' sizes, one
     row each, give where each begins.
     """
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    # the bounds of the ranges are sampled anew at each run: the sorted rows are kept, so that sizes and numbers are of the same partitions
+    parts = keep(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)
     sizes = sorted((r[0], r[1]) for r in parts.groupBy(part.alias("_part")).agg(F.count("*")).collect())
     base, total = [], start
