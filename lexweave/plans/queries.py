@@ -110,8 +110,7 @@ def part_write(spark, sf_dir):
 def part_read(spark, sf_dir):
     """Partially annotated lines (here with a mark at each place) as sentences."""
     gold = lines.gold(table(spark, sf_dir, "documents"))
-    special = lambda w: F.transform(X.chars(w), lambda c: X.escape(c, " -&|\\?/"))
-    marked = gold.select("doc_id", "line_no", F.array_join(F.transform("words", lambda w: F.array_join(special(w), "-")), "|").alias("line"))
+    marked = gold.select("doc_id", "line_no", formats.marked(F.col("words"), "|", "-").alias("line"))
     out = formats.parse(marked, "part", "line")
     return out.select("doc_id", "line_no", "surface", F.size("words").alias("words"), F.size(F.filter("words", lambda w: w["is_certain"])).alias("certain"), F.size(F.filter("ws_confs", lambda c: c > 0)).alias("breaks"))
 
@@ -134,7 +133,8 @@ def eda_write(spark, sf_dir):
     """Dependency blocks, numbered within their document."""
     out = formats.parse(lines.gold(table(spark, sf_dir, "documents")).select("doc_id", "line_no", F.array_join("words", " ").alias("line")), "tok", "line")
     number = F.expr("row_number() over (partition by doc_id order by line_no)")
-    return out.withColumn("number", number).select("doc_id", "line_no", formats.write_dependency(formats.sentence(), F.col("number")).alias("block"))
+    out = out.select("doc_id", "line_no", formats.dependency_rows(formats.sentence()).alias("rows")).withColumn("number", number)
+    return out.select("doc_id", "line_no", formats.dependency_block(F.col("rows"), F.col("number")).alias("block"))
 
 
 @query(rf"SELECT doc_id, line_no, array_to_string(list_transform(list_filter(string_split(surface, ''), lambda c: c <> ''), lambda c: regexp_replace(c, '([ \-&|\\?])', '\\\1')), ' ') AS line FROM ({_GOLD})")

@@ -220,8 +220,7 @@ def ws_constrained(spark, sf_dir):
 def partial_merge(spark, sf_dir):
     """Partially annotated lines, what follows an a or e being known, segmented: annotation stays, the rest is filled in."""
     gold, evidence = Q._evidence(spark, sf_dir)
-    marks = F.transform("words", lambda w: F.array_join(F.transform(X.chars(w), lambda c, i: F.concat(X.escape(c, " -&|\\?/"), F.when(i == F.length(w) - 1, F.when(c.isin("a", "e"), "|").otherwise(" ")).otherwise(F.when(c.isin("a", "e"), "-").otherwise(" ")))), ""))
-    whole = F.regexp_replace(F.array_join(marks, ""), "(?s).$", "")
+    whole = formats.marked(F.col("words"), "|", "-", known="ae")
     partial = formats.parse(gold.select("doc_id", "line_no", whole.alias("line")), "part", "line")
     scored = ngrams.score_lines(partial.select("doc_id", "line_no", "norm", "ws_confs"), keep(ngrams.associate(evidence)), ngrams.break_bias(gold), scores="all")
     both = F.zip_with("ws_confs", "scores", lambda c, s: F.when(c != 0, c > 0).otherwise(s > 0))
@@ -234,9 +233,10 @@ def partial_merge(spark, sf_dir):
 def part_tags_read(spark, sf_dir):
     """Partially annotated lines with tags and open marks: words of odd lengths have an open end."""
     gold = lines.gold(table(spark, sf_dir, "documents"))
-    inner = lambda w: F.array_join(F.transform(X.chars(w), lambda c: X.escape(c, " -&|\\?/")), "-")
     tag = lambda w: F.concat(F.lit("/L"), F.length(w).cast("string"))
-    parts = F.transform("words", lambda w, i: F.concat(inner(w), F.when((F.length(w) % 2 == 0) | (i == F.size("words") - 1), tag(w)).otherwise(""), F.when(i == F.size("words") - 1, "").when(F.length(w) % 2 == 0, "|").when(F.length(w) % 3 == 0, "?").otherwise(" ")))
+    parts = F.zip_with("words", "inner", lambda w, x: F.struct(w.alias("w"), x.alias("x")))
+    parts = F.transform(parts, lambda p, i: (lambda w: F.concat(p["x"], F.when((F.length(w) % 2 == 0) | (i == F.size("words") - 1), tag(w)).otherwise(""), F.when(i == F.size("words") - 1, "").when(F.length(w) % 2 == 0, "|").when(F.length(w) % 3 == 0, "?").otherwise(" ")))(p["w"]))
+    gold = gold.withColumn("inner", formats.marked_words(F.col("words"), "-"))
     out = formats.parse(gold.select("doc_id", "line_no", F.array_join(parts, "").alias("line")), "part", "line")
     many = lambda p: F.size(F.filter("ws_confs", p))
     tags = F.array_join(F.transform("words", lambda w: w["tags"][0][0]["tag"]), " ")

@@ -1,9 +1,14 @@
 """Results that depend on size: partitions computed twice, batches, tables that are too large to send."""
 
+import random
+
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from lexweave.operators import vocabulary
+from lexweave.sources import formats
 
 
 def test_numbers_are_dense_where_rows_come_in_another_order_each_time(spark):
@@ -16,3 +21,20 @@ def test_numbers_are_dense_where_rows_come_in_another_order_each_time(spark):
     got = sorted(tuple(r) for r in vocabulary.number_rows(rows, [F.col("seen")]).collect())
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got == [(7 * i, i + 1) for i in range(40_000)]
+
+
+def test_partial_lines_by_array_equal_those_read_unit_by_unit():
+    # a slash in the place of a character is one: it was taken for the begin of a tag
+    got = formats.read_partial.kernel(pa.array(["é /?b", "a-b/T|c"])).to_pylist()
+    assert [w["surface"] for w in got[0]["words"]] == ["é/b"] == [got[0]["surface"]] and got[0]["words"][0]["tags"] == []
+    assert [(w["surface"], len(w["tags"])) for w in got[1]["words"]] == [("ab", 1), ("c", 0)]
+    rng = random.Random(5)
+    lines = ["".join(rng.choices("ab/|-? é&\\", [9, 9, 3, 3, 5, 2, 5, 1, 1, 1], k=rng.randint(0, 9))) for _ in range(4000)]
+    good = []
+    for line in lines:
+        try:
+            good.append((line, formats._odd_partial(formats._hold(pa.array([line]))[0].as_py(), line)))
+        except ValueError:
+            with pytest.raises(ValueError):
+                formats.read_partial.kernel(pa.array([line]))
+    assert len(good) > 500 and formats.read_partial.kernel(pa.array([g[0] for g in good])).to_pylist() == [g[1] for g in good]
