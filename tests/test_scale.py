@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexweave.operators import vocabulary
+from lexweave.operators import ngrams, vocabulary
 from lexweave.sources import formats
 
 
@@ -38,3 +38,23 @@ def test_partial_lines_by_array_equal_those_read_unit_by_unit():
             with pytest.raises(ValueError):
                 formats.read_partial.kernel(pa.array([line]))
     assert len(good) > 500 and formats.read_partial.kernel(pa.array([g[0] for g in good])).to_pylist() == [g[1] for g in good]
+
+
+def test_addressed_tables_equal_hashed_ones(monkeypatch):
+    rng = random.Random(7)
+    grams = list({("X", "".join(rng.choices("ab1漢。", k=rng.randint(1, 3)))) for _ in range(60)} | {("T", "".join(rng.choices("RDKO", k=rng.randint(1, 3)))) for _ in range(40)})
+    weights = np.random.default_rng(1).integers(-900, 900, (len(grams), 6))
+    weights[:, 5][[len(g) > 1 for _, g in grams]] = 0
+    weights[:, 4][[len(g) > 2 for _, g in grams]] = 0
+    flat, bounds = ngrams.codes(["".join(rng.choices("ab1漢。z𠀀", k=rng.randint(0, 9))) for _ in range(50)])
+    line, room = ngrams._layout(bounds)
+    score = lambda: ngrams.Lookup([k for k, _ in grams], [g for _, g in grams], weights, 3).score(flat, bounds, line, room)[room > 1]
+    direct = score()
+    monkeypatch.setattr(ngrams, "DIRECT", 0)
+    assert (score() == direct).all() and len(direct) > 100
+
+
+def test_a_task_keeps_the_least_certain_boundary_of_each_pair(spark):
+    rows = spark.createDataFrame([(1, "abab", [5, -7, 4]), (2, "ab", [-4]), (3, "a", [])], "id int, norm string, scores array<bigint>").coalesce(1)
+    got = sorted(tuple(r) for r in ngrams.least_of_pairs(rows, ["id"]).collect())
+    assert got == [(1, 1, -7, "ba"), (1, 2, 4, "ab"), (2, 0, -4, "ab")]
