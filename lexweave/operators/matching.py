@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import normalize
-from .ngrams import BROADCAST_BYTES
+from .ngrams import BROADCAST_BYTES, _chunks
 
 MAX_DICTIONARIES = 8
 LENGTH_CAP = 4
@@ -28,12 +28,13 @@ def dictionary(words: list[DataFrame]) -> DataFrame:
     return rows.where("word <> ''").groupBy("word").agg(F.bit_or("bit").alias("in_dict"))
 
 
-def automaton(words: dict[str, int]):
+def automaton(words: dict[str, int], whole: bool = True):
+    """Finds (end, (word, mask)) of each word; without ``whole`` (end, mask)."""
     import ahocorasick
 
     out = ahocorasick.Automaton()
     for w, mask in words.items():
-        out.add_word(w, (w, mask))
+        out.add_word(w, (w, mask) if whole else mask)
     if words:
         out.make_automaton()
     return out
@@ -127,28 +128,30 @@ def boundary_feature_counts(lines: DataFrame, entries: DataFrame, cap: int = LEN
     sent = lines.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = automaton(sent.value)
-        names = [(d, p, n) for d in range(MAX_DICTIONARIES) for p in "LIR" for n in range(1, cap + 1)]
-        total = np.zeros(len(names), np.int64)
+        find = automaton({w: len(w) << MAX_DICTIONARIES | mask for w, mask in sent.value.items()}, whole=False)
+        total: dict[str, int] = {}
         for b in batches if sent.value else ():
-            for text in b.column(0).to_pylist():
-                marks = np.zeros(len(text), [("m", np.uint64, 2)])["m"]
-                for e, (w, mask) in find.iter(text):
-                    n, s = min(len(w), cap), e - len(w) + 1
-                    for d in range(MAX_DICTIONARIES):
-                        if mask >> d & 1:
-                            for p, lo, hi in ((0, e, e + 1), (1, s, e), (2, s - 1, s)):
-                                k = (d * 3 + p) * cap + n - 1
-                                if lo >= 0:
-                                    marks[lo:hi, k // 64] |= np.uint64(1 << (k % 64))
-                inner = marks[: len(text) - 1]
-                for k in range(len(names)):
-                    if k // 64 < 2:
-                        total[k] += int(((inner[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)).sum())
-        some = [k for k in range(len(names)) if total[k]]
-        yield pa.RecordBatch.from_arrays([pa.array([f"D{names[k][0]}{names[k][1]}{names[k][2]}" for k in some], pa.string()), pa.array(total[some])], ["name", "n"])
-
-    assert 3 * MAX_DICTIONARIES * cap <= 128, "two words of marks a boundary hold this many features"
+            for _, texts in _chunks(iter([b]), "norm"):
+                bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+                inner = np.ones(bounds[-1] + 1, bool)  # is there a boundary after the character?
+                inner[bounds[1:] - 1] = False
+                found = [np.fromiter((x for hit in find.iter(t) for x in hit), np.int64).reshape(-1, 2) + (int(lo), 0) for t, lo in zip(texts, bounds)]
+                end, value = np.concatenate(found).T if found else np.zeros((2, 0), np.int64)
+                size, mask = value >> MAX_DICTIONARIES, value & ((1 << MAX_DICTIONARIES) - 1)
+                for d in range(MAX_DICTIONARIES):
+                    for n in range(1, cap + 1):
+                        some = ((mask >> d) & 1 == 1) & (np.minimum(size, cap) == n)
+                        if some.any():
+                            e, first = end[some], end[some] - size[some] + 1
+                            across = np.cumsum(np.bincount(first, minlength=len(inner)) - np.bincount(e, minlength=len(inner))) > 0
+                            left, right = np.zeros(len(inner), bool), np.zeros(len(inner), bool)
+                            left[e] = True
+                            right[first[first > 0] - 1] = True
+                            for p, at in (("L", left), ("I", across), ("R", right)):
+                                if m := int((at & inner).sum()):
+                                    total[f"D{d}{p}{n}"] = total.get(f"D{d}{p}{n}", 0) + m
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["name", "n"])
+
     return lines.where(F.length("norm") > 0).select("norm").mapInArrow(run, "name string, n bigint").groupBy("name").agg(F.sum("n").alias("n"))
 
 
