@@ -55,14 +55,22 @@ def local_counts(words: DataFrame, window: int = WINDOW, order: int = ORDER) ->
     ``words`` (of ``slim``): word, tag, norm, start. Equal surroundings are counted
     before they are sent; a word's different ones are in one task, 80 bytes each.
     """
-    amb = words.groupBy("word").agg(F.min("tag").alias("_a"), F.max("tag").alias("_z")).where("_a < _z").select("word")
+    amb = words.groupBy("word").agg(F.min("tag").alias("_a"), F.max("tag").alias("_z"), F.count("*").alias("_m")).where("_a < _z").select("word", "_m")
+    parts = int((amb.agg(F.coalesce(F.sum("_m"), F.lit(0))).first()[0] >> 18) + 1)
+    # a frequent word is a part of its own, others share one
+    alone = F.when(F.col("_m") > 1 << 18, F.col("word")).alias("_alone")
     rows = words.groupBy("word", "tag", "start", "norm").agg(F.count("*").alias("m")).join(amb, "word")
+    rows = rows.select("word", "tag", "start", "norm", "m", alone, F.pmod(F.xxhash64("word"), F.lit(parts)).alias("_part"))
 
-    def model(key: tuple, own: pa.Table) -> pa.Table:
+    def model(own: pa.Table) -> pa.Table:
         flat, bounds = points(whole(own.column("norm")))
         tags = whole(own.column("tag"))
         classes = sorted(x for x in set(tags.to_pylist()) if x is not None)
         label = pc.fill_null(pc.index_in(tags, value_set=pa.array(classes, pa.string())), -1).to_numpy(zero_copy_only=False)
+        coded = whole(own.column("word")).dictionary_encode()
+        word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        mine = np.zeros((len(coded.dictionary), len(classes)), bool)
+        mine[word[label >= 0], label[label >= 0]] = True
         many, start = whole(own.column("m")).to_numpy(), whole(own.column("start")).to_numpy()
         row = np.repeat(np.arange(len(many)), np.diff(bounds))
         place = np.arange(len(flat)) - bounds[:-1][row] + window - start[row]
@@ -82,19 +90,23 @@ def local_counts(words: DataFrame, window: int = WINDOW, order: int = ORDER) ->
                         if k % 2 == 0 and k:
                             code = np.unique(code, return_inverse=True)[1].astype(np.int64)
                         code = code << 21 | seq[at, c + k]
-                    back = np.unique(code, return_inverse=True)[1]
+                    back = np.unique(code, return_inverse=True)[1].astype(np.int64)
+                    back = np.unique(back * len(mine) + word[at], return_inverse=True)[1]
                     told = label[at] >= 0
                     count = np.zeros((back.max() + 1, len(classes)), np.int64)
                     np.add.at(count, (back[told], label[at][told]), many[at][told])
                     every = count.sum(1, keepdims=True)
                     top = 1000 * (2 * count - every)
                     scores[at] += (np.sign(top) * (np.abs(top) // (every + 4)))[back]
-        best = np.argmax(scores, 1)  # the first of equal ones
-        n = int(many[seen].sum())
-        out = [key[0].as_py()], [n], [int(many[seen & (best == label)].sum())]
-        return pa.table({k: pa.array(v if n else [], t) for k, v, t in zip(("word", "n", "correct"), out, (pa.string(), pa.int64(), pa.int64()))})
-
-    return rows.groupBy("word").applyInArrow(model, "word string, n bigint, correct bigint")
+        best = np.argmax(np.where(mine[word], scores, np.iinfo(np.int64).min), 1)  # the first of equal ones
+        n = np.zeros((2, len(mine)), np.int64)
+        np.add.at(n[0], word[seen], many[seen])
+        right = seen & (best == label)
+        np.add.at(n[1], word[right], many[right])
+        some = np.flatnonzero(n[0] > 0)
+        return pa.table({"word": coded.dictionary.take(pa.array(some)), "n": pa.array(n[0][some]), "correct": pa.array(n[1][some])})
+
+    return rows.groupBy("_part", "_alone").applyInArrow(model, "word string, n bigint, correct bigint")
 
 
 def self_names(own_types: Column | None = None) -> Column:
